@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe_trie, exact_dedup, packing
+from . import binary, bpe_trie, exact_dedup, lines, minhash, packing, pii, quality, toxicity
 from .common import read_documents
 
 OP10_SQL = r"""
@@ -21,6 +21,15 @@ FROM r JOIN g USING (body)
 """
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.round_trip(read_documents(spark, sf_dir))
 
@@ -33,14 +42,31 @@ def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.files(read_documents(spark, sf_dir))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_documents(spark, sf_dir))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_documents(spark, sf_dir))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_units(read_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(read_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_packing": op4_packing,
     "op5_binary": op5_binary,
+    "op6_minhash": op6_minhash,
+    "op7_pii": op7_pii,
+    "op9_lines": op9_lines,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
