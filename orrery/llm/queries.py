@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe_trie, exact_dedup, lines, minhash, packing, pii, quality, toxicity
+from . import binary, bpe_trie, exact_dedup, lines, media, minhash, packing, pii, quality, toxicity
 from .common import read_documents
 
 OP10_SQL = r"""
@@ -50,6 +50,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumnRenamed("vec_id", "id")
+    return media.copies(media.rasters(vectors))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removed_units(read_documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_binary": op5_binary,
     "op6_minhash": op6_minhash,
     "op7_pii": op7_pii,
+    "op8_media": op8_media,
     "op9_lines": op9_lines,
     "op10_exact_dedup": op10_exact_dedup,
 }
