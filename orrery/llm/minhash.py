@@ -1,14 +1,15 @@
 """Near-duplicates by b-bit MinHash (operator 6).
 
 A text's set holds the 64-bit hashes of its distinct five-word shingles. Texts with the same set form a class, and one text
-stands for it. 128 minima make 32 bands of four; representatives that share a band are candidates. Two low bits of each
-minimum are packed into four numbers, and the bits that agree, corrected for chance, estimate the similarity: candidates
+stands for it. 128 minima make 32 bands of four; representatives that share a band are candidates. Four low bits of each
+minimum are packed into eight numbers, and the fields that agree, corrected for chance, estimate the similarity: candidates
 below `floor` leave, the others are confirmed on the full sets. At the similarity of 0.75 all bands miss with a chance of
-5e-6, and the estimate lies 5 standard deviations above the floor.
+5e-6, and the estimate lies 4.5 standard deviations above the floor.
 
 No bucket is turned into all its pairs while it can be spanned by fewer: each round compares a bucket's members with one
-pivot, and members that are linked already, even through others, are left out later. A bucket whose members stay in several
-components after the pivot rounds is compared in full, except pairs within a component, so no candidate is lost.
+pivot, and buckets whose members are then in one component, even through others, are done. In the buckets that stay open the
+members outside the largest component are compared with all others, in blocks of bounded size inside a task: only pairs whose
+packed bits allow the similarity leave it. So no candidate is lost.
 
 Defined results
     * null, empty and white texts have no shingles and are linked with nothing; under five words the whole sequence is one
@@ -31,7 +32,7 @@ from .components import components
 from .spans import SpanHash, U, lower_ascii, mix, text_bytes, word_spans
 from .tokens import texts_by_slice
 
-WIDTH, BANDS, ROWS, BITS = 5, 32, 4, 2
+WIDTH, BANDS, ROWS, BITS = 5, 32, 4, 4
 MINIMA = BANDS * ROWS
 _rng = np.random.default_rng(6)
 _FACTOR = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -103,18 +104,36 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
 
+def _ones() -> int:
+    return sum(1 << k for k in range(0, 64, BITS))
+
+
 def estimate(a: Column, b: Column) -> Column:
-    """Similarity from packed low bits: the share that agrees, corrected for agreement by chance."""
-    per, ones = 64 // BITS, 0x5555555555555555
+    """Similarity from packed low bits: the share of fields that agree, corrected for agreement by chance."""
     differ = F.lit(0)
-    for i in range(MINIMA // per):
+    for i in range(MINIMA * BITS // 64):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        either = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(ones))
-        differ = differ + F.bit_count(either)
+        any_bit = x
+        for k in range(1, BITS):
+            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, k))
+        differ = differ + F.bit_count(any_bit.bitwiseAND(F.lit(_ones())))
     chance = 1.0 / (1 << BITS)
     return (1 - differ / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for all rows of a against all rows of b."""
+    differ = np.zeros((len(a), len(b)), np.uint16)
+    for i in range(a.shape[1]):
+        x = a[:, None, i] ^ b[None, :, i]
+        any_bit = x.copy()
+        for k in range(1, BITS):
+            any_bit |= x >> U(k)
+        differ += np.bitwise_count(any_bit & U(_ones()))
+    chance = 1.0 / (1 << BITS)
+    return (1 - differ / float(MINIMA) - chance) / (1 - chance)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_unit: int = 64) -> DataFrame:
     """The pairs (a, b) with a similarity of percent or more on full sets. Pairs are dealt by a and a salt, so that a unit has
     about per_unit texts at most and the text of a is sent once to each unit."""
@@ -149,46 +168,69 @@ def _candidates(pairs: DataFrame, reps: DataFrame, percent: int, floor: float) -
     return p.filter(fits & (estimate(F.col("pa"), F.col("pb")) >= floor)).select("a", "b")
 
 
+def _across(open_: DataFrame, reps: DataFrame, percent: int, floor: float, rows: int = 64, columns: int = 4096) -> DataFrame:
+    """Distinct pairs of different components of a bucket, one of them outside its largest, that packed bits allow. Outside
+    members are dealt into blocks of about `rows`, all members into blocks of about `columns`; a task compares two blocks."""
+    sides = open_.select("band", "rep", "root", (F.col("root") != F.col("top.root")).alias("out")).join(reps.select("rep", "n", "packed"), "rep")
+    size = open_.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("root") != F.col("top.root")).cast("long")).alias("o"))
+    size = size.select("band", F.ceil(F.col("m") / columns).cast("int").alias("cs"), F.ceil(F.col("o") / rows).cast("int").alias("rs"))
+    sides = sides.join(size, "band")
+    near = sides.filter("out").withColumn("r", F.pmod(F.xxhash64("rep"), F.col("rs")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
+    far = sides.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("cs")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
+    names = ["band", "r", "c", "rep", "root", "n", "packed"]
+    both = near.select(*names, F.lit(True).alias("near")).unionByName(far.select(*names, F.lit(False).alias("near")))
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("near").to_numpy(zero_copy_only=False)
+        rep, root, n = (table.column(c).to_numpy() for c in ("rep", "root", "n"))
+        packed = table.column("packed").combine_chunks().flatten().to_numpy().reshape(len(rep), -1).view(np.uint64)
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        fits = 100 * np.minimum.outer(n[a], n[b]) >= percent * np.maximum.outer(n[a], n[b])
+        i, j = np.nonzero(fits & (root[a][:, None] != root[b][None, :]) & (estimates(packed[a], packed[b]) >= floor))
+        x, y = rep[a[i]], rep[b[j]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return both.groupBy("band", "r", "c").applyInArrow(run, "a long, b long").distinct()
+
+
 def _links(reps: DataFrame, docs: DataFrame, percent: int, floor: float, pivot_rounds: int) -> DataFrame:
     """node, root of all representatives that are linked with any other."""
-    spark = docs.sparkSession
     buckets = reps.select("rep", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
     members = materialise(buckets.join(shared, "band").select("band", "rep", "pivot"), "buckets")
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
     texts = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = materialise(texts.dropDuplicates(["doc_id"]), "texts")
-    roots, links = None, None
+    reps = materialise(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "packed"), "packed")
+    links = None
     pairs = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    pairs = _candidates(pairs, reps, percent, floor)
     for turn in range(pivot_rounds + 1):
-        new = confirmed(_candidates(pairs, reps, percent, floor), texts, percent)
+        new = confirmed(pairs, texts, percent)
         links = materialise(new if links is None else links.unionByName(new), "confirmed")
         roots = materialise(components(links), "roots")
         if turn == pivot_rounds:
-            break
-        # buckets whose members are in several components, and of those the members outside the largest
+            return roots
+        # buckets whose members are in several components; those done never open again
         now = members.select("band", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
         now = now.select("band", "rep", F.coalesce("root", "rep").alias("root"))
         per = now.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("pivot"))
         top = per.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root", "pivot")).alias("top")).filter("parts > 1")
-        open_ = materialise(now.join(top, "band").select("band", "rep", "root", "top"), "open")
-        outside = open_.filter("root <> top.root")
-        if open_.isEmpty():
-            break
-        size = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("root") != F.col("top.root")).cast("long")).alias("o"))
-        full = size.agg(F.sum(F.col("n") * F.col("o"))).first()[0]
-        if turn + 1 < pivot_rounds and full > 2 * reps.count():
-            pairs = outside.select(F.col("top.pivot").alias("a"), F.col("rep").alias("b"))
-            continue
-        other = open_.select("band", F.col("rep").alias("x"), F.col("root").alias("other"))
-        pairs = outside.join(other, "band").filter("root <> other").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-        new = confirmed(_candidates(pairs, reps, percent, floor), texts, percent)
-        roots = materialise(components(links.unionByName(new)), "roots")
-        break
-    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
-
-
-def classes(docs: DataFrame, percent: int = 75, floor: float = 0.5, pivot_rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+        members = materialise(now.join(top, "band").select("band", "rep", "root", "top"), "open")
+        size = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("root") != F.col("top.root")).cast("long")).alias("o"))
+        full, most = size.agg(F.sum(F.col("n") * F.col("o")), F.max("n")).first()
+        if not full:
+            return roots
+        if turn + 2 < pivot_rounds and most > 256 and full > 100 * reps.count():
+            outside = members.filter("root <> top.root").select(F.col("top.pivot").alias("a"), F.col("rep").alias("b"))
+            pairs = _candidates(outside, reps, percent, floor)
+        else:
+            pairs = materialise(_across(members, reps, percent, floor), "across")
+            pivot_rounds = turn + 1
+    return roots
+
+
+def classes(docs: DataFrame, percent: int = 75, floor: float = 0.57, pivot_rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """The features of every row, and the component of every set of shingles."""
     rows = materialise(features(docs), "features")
     named = rows.filter(F.col("set_key").isNotNull())
