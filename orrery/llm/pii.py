@@ -30,8 +30,14 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 INSTANCE = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-NONE = F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
-NO_INSTANCE = F.expr("cast(array() as array<struct<start:int,end:int,word:string,before:string>>)")
+
+
+def none() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,end:int,kind:int>>)")
+
+
+def no_instance() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,end:int,word:string,before:string>>)")
 
 
 def _digits(hit: Column) -> Column:
@@ -78,10 +84,10 @@ def base_spans(text: Column) -> Column:
     found = []
     for k, (kind, (pattern, sign)) in enumerate(PATTERNS.items()):
         spans = _located(
-            text, pattern, lambda a, b, h, g, k=k: F.struct(a.alias("start"), b.alias("end"), F.lit(k).alias("kind")), NONE, lambda h, kind=kind: _valid(kind, h)
+            text, pattern, lambda a, b, h, g, k=k: F.struct(a.alias("start"), b.alias("end"), F.lit(k).alias("kind")), none(), lambda h, kind=kind: _valid(kind, h)
         )
         gate = F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9][0-9 -]")
-        found.append(F.when(gate, spans).otherwise(NONE))
+        found.append(F.when(gate, spans).otherwise(none()))
     by = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
     return F.array_sort(F.concat(*found), by)
 
@@ -92,7 +98,7 @@ def instances(text: Column) -> Column:
     def make(a: Column, b: Column, h: Column, g: Column) -> Column:
         return F.struct(a.alias("start"), b.alias("end"), h.alias("word"), F.lower(F.element_at(F.split(F.rtrim(F.right(g, F.lit(200))), r"[\x20\x09-\x0D]+"), -1)).alias("before"))
 
-    return F.when(text.rlike("[0-9@]"), _located(text, INSTANCE, make, NO_INSTANCE, lambda h: F.lit(True))).otherwise(NO_INSTANCE)
+    return F.when(text.rlike("[0-9@]"), _located(text, INSTANCE, make, no_instance(), lambda h: F.lit(True))).otherwise(no_instance())
 
 
 def shape(word: Column) -> Column:
@@ -140,7 +146,7 @@ def _all_spans(docs: DataFrame) -> DataFrame:
     base = _base(docs)
     rows = base.drop("inst").join(discovered(base), "row", "left")
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    return rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", NONE)), order))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", none())), order))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def redact(docs: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
     more = more.select(F.col("doc_id").alias("add_id"), F.col("text_key").alias("add_key"), "added")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("whole"))
     rows = rows.join(F.broadcast(more) if few else more, F.col("doc.doc_id").eqNullSafe(F.col("add_id")) & (F.xxhash64("whole") == F.col("add_key")), "left")
-    spans = F.array_sort(F.concat(base_spans(F.col("whole")), F.coalesce("added", NONE)))
+    spans = F.array_sort(F.concat(base_spans(F.col("whole")), F.coalesce("added", none())))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     rows = rows.withColumn("spans", spans)
 
