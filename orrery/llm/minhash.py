@@ -34,6 +34,7 @@ from .tokens import texts_by_slice
 
 WIDTH, BANDS, ROWS, BITS = 5, 32, 4, 4
 MINIMA = BANDS * ROWS
+SLICE = 1_000_000  # bytes of text that a task works on at once, but for a longer single text
 _rng = np.random.default_rng(6)
 _FACTOR = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -85,7 +86,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in texts_by_slice(batches):
+        for batch in texts_by_slice(batches, SLICE):
             n, keys, bands, packed = [], [], [], []
             for own in shingle_sets(batch.column("text")):
                 n.append(len(own))
@@ -147,7 +148,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_unit: int =
         table = table.sort_by([("role", "ascending"), ("doc", "ascending")])
         ids, roles = table.column("doc").to_pylist(), table.column("role").to_pylist()
         found, pivot = [], None
-        for k, own in enumerate(own for part in table.to_batches(max_chunksize=64) for own in shingle_sets(part.column("text"))):
+        for k, own in enumerate(own for part in texts_by_slice(table.to_batches(), SLICE) for own in shingle_sets(part.column("text"))):
             if roles[k] == 0:
                 pivot = own
                 continue
@@ -198,17 +199,19 @@ def _links(reps: DataFrame, docs: DataFrame, percent: int, floor: float, pivot_r
     buckets = reps.select("rep", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
     members = materialise(buckets.join(shared, "band").select("band", "rep", "pivot"), "buckets")
+    # a representative shares a bucket with another or is linked with nothing
+    reps = materialise(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "packed"), "packed")
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
-    texts = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = materialise(texts.dropDuplicates(["doc_id"]), "texts")
-    reps = materialise(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "packed"), "packed")
-    links = None
+    roots = None
     pairs = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    pairs = _candidates(pairs, reps, percent, floor)
+    pairs = materialise(_candidates(pairs, reps, percent, floor), "candidates")
     for turn in range(pivot_rounds + 1):
-        new = confirmed(pairs, texts, percent)
-        links = materialise(new if links is None else links.unionByName(new), "confirmed")
-        roots = materialise(components(links), "roots")
+        links = materialise(confirmed(pairs, texts, percent), "confirmed")
+        if roots is not None:  # what is known joins as stars
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
         if turn == pivot_rounds:
             return roots
         # buckets whose members are in several components; those done never open again
@@ -223,7 +226,7 @@ def _links(reps: DataFrame, docs: DataFrame, percent: int, floor: float, pivot_r
             return roots
         if turn + 2 < pivot_rounds and most > 256 and full > 100 * reps.count():
             outside = members.filter("root <> top.root").select(F.col("top.pivot").alias("a"), F.col("rep").alias("b"))
-            pairs = _candidates(outside, reps, percent, floor)
+            pairs = materialise(_candidates(outside, reps, percent, floor), "candidates")
         else:
             pairs = materialise(_across(members, reps, percent, floor), "across")
             pivot_rounds = turn + 1

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from orrery.llm import binary, bpe_trie, exact_dedup, lines, media, minhash, packing, pii, quality, toxicity
+from orrery.llm import components as component_parts
 from orrery.llm.common import scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
@@ -189,3 +190,28 @@ def test_media_finds_a_crop(spark):
     images = [(i, bytearray(media.write_image(g))) for i, g in enumerate(big)] + [(10, bytearray(media.write_image(big[2][10:110, 5:115] * 0.9))), (11, None), (12, bytearray(b"no image"))]
     got = {r["id"]: r["component_id"] for r in media.copies(spark.createDataFrame(images, "id long, image binary")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 2, 11: 11, 12: 12}
+
+
+@pytest.mark.parametrize("shape", ["path", "hub", "random", "none"])
+def test_components(spark, shape):
+    rng = random.Random(7)
+    ids = rng.sample(range(10**12), 600)
+    links = {
+        "path": list(zip(ids, ids[1:], strict=False)),
+        "hub": [(max(ids), i) for i in ids[:300]] + [(min(ids), i) for i in ids[250:550]] + [(i, i) for i in ids[590:]],
+        "random": [tuple(rng.sample(ids, 2)) for _ in range(330)],
+        "none": [],
+    }[shape]
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    want = {i: top(i) for a, b in links if a != b for i in (a, b)}
+    got = component_parts.components(spark.createDataFrame(links, "a long, b long").repartition(16)).collect()
+    assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
