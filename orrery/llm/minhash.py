@@ -8,8 +8,8 @@ below `floor` leave, the others are confirmed on the full sets. At the similarit
 
 No bucket is turned into all its pairs while it can be spanned by fewer: each round compares a bucket's members with one
 pivot, and buckets whose members are then in one component, even through others, are done. In the buckets that stay open the
-members outside the largest component are compared with all others, in blocks of bounded size inside a task: only pairs whose
-packed bits allow the similarity leave it. So no candidate is lost.
+members outside the largest component are compared with all others, in blocks of bounded size inside a task, which has their
+texts: only links leave it. So no candidate is lost.
 
 Defined results
     * null, empty and white texts have no shingles and are linked with nothing; under five words the whole sequence is one
@@ -135,6 +135,14 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - differ / float(MINIMA) - chance) / (1 - chance)
 
 
+def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a similarity of percent or more."""
+    if len(one) > len(two):
+        one, two = two, one
+    both = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_unit: int = 64) -> DataFrame:
     """The pairs (a, b) with a similarity of percent or more on full sets. Pairs are dealt by a and a salt, so that a unit has
     about per_unit texts at most and the text of a is sent once to each unit."""
@@ -151,9 +159,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_unit: int =
         for k, own in enumerate(own for part in texts_by_slice(table.to_batches(), SLICE) for own in shingle_sets(part.column("text"))):
             if roles[k] == 0:
                 pivot = own
-                continue
-            both = len(np.intersect1d(pivot, own, assume_unique=True))
-            if 100 * both >= percent * (len(pivot) + len(own) - both):
+            elif similar(pivot, own, percent):
                 found.append(ids[k])
         return pa.table({"a": pa.array([key[0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
@@ -169,29 +175,48 @@ def _candidates(pairs: DataFrame, reps: DataFrame, percent: int, floor: float) -
     return p.filter(fits & (estimate(F.col("pa"), F.col("pb")) >= floor)).select("a", "b")
 
 
-def _across(open_: DataFrame, reps: DataFrame, percent: int, floor: float, rows: int = 64, columns: int = 4096) -> DataFrame:
-    """Distinct pairs of different components of a bucket, one of them outside its largest, that packed bits allow. Outside
-    members are dealt into blocks of about `rows`, all members into blocks of about `columns`; a task compares two blocks."""
-    sides = open_.select("band", "rep", "root", (F.col("root") != F.col("top.root")).alias("out")).join(reps.select("rep", "n", "packed"), "rep")
-    size = open_.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("root") != F.col("top.root")).cast("long")).alias("o"))
-    size = size.select("band", F.ceil(F.col("m") / columns).cast("int").alias("cs"), F.ceil(F.col("o") / rows).cast("int").alias("rs"))
-    sides = sides.join(size, "band")
+def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, floor: float, rows: int = 512, columns: int = 1024, shingles: int = 500_000) -> DataFrame:
+    """Links between different components of a bucket, one end outside its largest. Outside members are dealt into blocks of
+    about `rows`, all members into blocks of about `columns`, and of about `shingles` in either; a task compares two blocks and
+    confirms what packed bits allow on full sets, so only links leave it. A pair counts in the first band it shares: a bucket
+    it shared earlier is open too, else the two were in one component."""
+    out = F.col("root") != F.col("top.root")
+    sides = open_.select("band", "rep", "root", out.alias("out")).join(reps.select("rep", "n", "bands", "packed"), "rep")
+    size = sides.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mn"), F.count_if("out").alias("o"), F.sum(F.when(F.col("out"), F.col("n"))).alias("on"))
+    size = size.select(
+        "band",
+        F.ceil(F.greatest(F.col("m") / columns, F.col("mn") / shingles)).cast("int").alias("cs"),
+        F.ceil(F.greatest(F.col("o") / rows, F.col("on") / shingles)).cast("int").alias("rs"),
+    )
+    sides = sides.join(size, "band").join(texts.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep")
     near = sides.filter("out").withColumn("r", F.pmod(F.xxhash64("rep"), F.col("rs")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
     far = sides.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("cs")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
-    names = ["band", "r", "c", "rep", "root", "n", "packed"]
+    names = ["band", "r", "c", "rep", "root", "out", "n", "bands", "packed", "text"]
     both = near.select(*names, F.lit(True).alias("near")).unionByName(far.select(*names, F.lit(False).alias("near")))
 
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("near").to_numpy(zero_copy_only=False)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        side, outside = (table.column(c).to_numpy(zero_copy_only=False) for c in ("near", "out"))
         rep, root, n = (table.column(c).to_numpy() for c in ("rep", "root", "n"))
-        packed = table.column("packed").combine_chunks().flatten().to_numpy().reshape(len(rep), -1).view(np.uint64)
+        bands, packed = (table.column(c).combine_chunks().flatten().to_numpy().reshape(len(rep), -1) for c in ("bands", "packed"))
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
         fits = 100 * np.minimum.outer(n[a], n[b]) >= percent * np.maximum.outer(n[a], n[b])
-        i, j = np.nonzero(fits & (root[a][:, None] != root[b][None, :]) & (estimates(packed[a], packed[b]) >= floor))
-        x, y = rep[a[i]], rep[b[j]]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return both.groupBy("band", "r", "c").applyInArrow(run, "a long, b long").distinct()
+        fits &= (root[a][:, None] != root[b][None, :]) & (~outside[b][None, :] | (rep[a][:, None] < rep[b][None, :]))
+        if fits.any():
+            fits &= estimates(packed[a].view(np.uint64), packed[b].view(np.uint64)) >= floor
+        i, j = np.nonzero(fits)
+        i, j = a[i], b[j]
+        first = np.zeros(len(i), bool)
+        for x in range(0, len(i), 1 << 14):
+            same = bands[i[x : x + (1 << 14)]] == bands[j[x : x + (1 << 14)]]
+            first[x : x + (1 << 14)] = bands[i[x : x + (1 << 14)], same.argmax(axis=1)] == key[0].as_py()
+        i, j = i[first], j[first]
+        used = np.unique(np.concatenate([i, j]))
+        parts = texts_by_slice(table.select(["text"]).take(pa.array(used)).to_batches(), SLICE)
+        sets = dict(zip(used.tolist(), (own for part in parts for own in shingle_sets(part.column("text"))), strict=True))
+        found = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if similar(sets[x], sets[y], percent)]
+        return pa.table({"a": rep[i[found]], "b": rep[j[found]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return both.groupBy("band", "r", "c").applyInArrow(run, "a long, b long")
 
 
 def _links(reps: DataFrame, docs: DataFrame, percent: int, floor: float, pivot_rounds: int) -> DataFrame:
@@ -200,15 +225,16 @@ def _links(reps: DataFrame, docs: DataFrame, percent: int, floor: float, pivot_r
     shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
     members = materialise(buckets.join(shared, "band").select("band", "rep", "pivot"), "buckets")
     # a representative shares a bucket with another or is linked with nothing
-    reps = materialise(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "packed"), "packed")
+    reps = materialise(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "bands", "packed"), "packed")
     texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
-    texts = texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = texts.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     texts = materialise(texts.dropDuplicates(["doc_id"]), "texts")
     roots = None
     pairs = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     pairs = materialise(_candidates(pairs, reps, percent, floor), "candidates")
+    links = confirmed(pairs, texts, percent)
     for turn in range(pivot_rounds + 1):
-        links = materialise(confirmed(pairs, texts, percent), "confirmed")
+        links = materialise(links, "confirmed")
         if roots is not None:  # what is known joins as stars
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(links)
@@ -226,9 +252,9 @@ def _links(reps: DataFrame, docs: DataFrame, percent: int, floor: float, pivot_r
             return roots
         if turn + 2 < pivot_rounds and most > 256 and full > 100 * reps.count():
             outside = members.filter("root <> top.root").select(F.col("top.pivot").alias("a"), F.col("rep").alias("b"))
-            pairs = materialise(_candidates(outside, reps, percent, floor), "candidates")
+            links = confirmed(materialise(_candidates(outside, reps, percent, floor), "candidates"), texts, percent)
         else:
-            pairs = materialise(_across(members, reps, percent, floor), "across")
+            links = _across(members, reps, texts, percent, floor)
             pivot_rounds = turn + 1
     return roots
 
