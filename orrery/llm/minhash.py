@@ -34,7 +34,6 @@ from .tokens import texts_by_slice
 
 WIDTH, BANDS, ROWS, BITS = 5, 32, 4, 4
 MINIMA = BANDS * ROWS
-SLICE = 1_000_000  # bytes of text that a task works on at once, but for a longer single text
 _rng = np.random.default_rng(6)
 _FACTOR = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
@@ -86,7 +85,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in texts_by_slice(batches, SLICE):
+        for batch in texts_by_slice(batches):
             n, keys, bands, packed = [], [], [], []
             for own in shingle_sets(batch.column("text")):
                 n.append(len(own))
@@ -156,7 +155,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_unit: int =
         table = table.sort_by([("role", "ascending"), ("doc", "ascending")])
         ids, roles = table.column("doc").to_pylist(), table.column("role").to_pylist()
         found, pivot = [], None
-        for k, own in enumerate(own for part in texts_by_slice(table.to_batches(), SLICE) for own in shingle_sets(part.column("text"))):
+        for k, own in enumerate(own for part in texts_by_slice(table.to_batches()) for own in shingle_sets(part.column("text"))):
             if roles[k] == 0:
                 pivot = own
             elif similar(pivot, own, percent):
@@ -211,7 +210,7 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, f
             first[x : x + (1 << 14)] = bands[i[x : x + (1 << 14)], same.argmax(axis=1)] == key[0].as_py()
         i, j = i[first], j[first]
         used = np.unique(np.concatenate([i, j]))
-        parts = texts_by_slice(table.select(["text"]).take(pa.array(used)).to_batches(), SLICE)
+        parts = texts_by_slice(table.select(["text"]).take(pa.array(used)).to_batches())
         sets = dict(zip(used.tolist(), (own for part in parts for own in shingle_sets(part.column("text"))), strict=True))
         found = [k for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)) if similar(sets[x], sets[y], percent)]
         return pa.table({"a": rep[i[found]], "b": rep[j[found]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))

@@ -18,13 +18,13 @@ U = np.uint64
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest table so far is kept."""
+    """base**0 .. base**(n-1) modulo 2**64; the longest table up to 2**20 is kept."""
     held = _tables.get(base)
     if held is None or len(held) < n:
         table = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         table[0] = 1
         held = np.multiply.accumulate(table)
-        if len(held) <= 1 << 23:
+        if len(held) <= 1 << 20:
             _tables[base] = held
     return held[:n]
 
@@ -50,7 +50,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def batches(batch: pa.RecordBatch, column: str, limit: int = 3_000_000):
+def batches(batch: pa.RecordBatch, column: str, limit: int = 1_000_000):
     """Slices of the batch whose texts have about limit bytes in all; one text is never cut."""
     from .common import slices
 

@@ -205,7 +205,7 @@ def word_bpe(path: str, engine: str) -> WordBpe:
     return held(("word", path, engine), lambda: WordBpe(path, (trie_words if engine == "trie" else library_words)(path)))
 
 
-def texts_by_slice(batches_: Iterator[pa.RecordBatch], limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def texts_by_slice(batches_: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     from .spans import batches
 
     for batch in batches_:
