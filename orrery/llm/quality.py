@@ -107,7 +107,7 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, languages: int = 7) -> dict[str | None, np.ndarray]:
     """A table of log probabilities for each of the languages with most trusted text, and one (key OTHER) for the rest."""
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
-    table = count(docs.join(trusted, "doc_id", "left_semi"))
+    table = count(docs.join(trusted.hint("merge"), "doc_id", "left_semi"))  # the same plan whatever the number of labels
     from .common import materialise
 
     table = materialise(table, "counts")
