@@ -192,6 +192,30 @@ def test_media_finds_a_crop(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 2, 11: 11, 12: 12}
 
 
+def test_media_candidates_against_all_comparisons(spark):
+    """Copies with noise, darker, cropped and turned by a quarter: tables and blocks give what comparing all with all gives."""
+    rng = np.random.default_rng(4)
+    vectors = [(i, rng.normal(0, 0.125, 64).tolist()) for i in range(60)]
+    greys = [media.read_image(bytes(r["image"])) for r in media.rasters(spark.createDataFrame(vectors, "id long, embedding array<double>")).orderBy("id").collect()]
+    copies = [np.clip(g + rng.normal(0, 4, g.shape), 0, 255) for g in greys[:8]] + [0.8 * g + 20 for g in greys[8:16]] + [g[4:60, 6:62] for g in greys[16:24]] + [np.rot90(g) for g in greys[24:30]] + greys[30:34]
+    data = [bytearray(media.write_image(g)) for g in greys + copies]
+    found = [media.corners(media.read_image(d)[None])[0] for d in data]
+    own = [(p, b.view(np.uint64)) for p, b in found]
+    root = list(range(len(own)))
+    links = 0
+    for a in range(len(own)):
+        for b in range(a + 1, len(own)):
+            if media.same_scene(own[a], own[b]):
+                links += 1
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert links >= 25
+    frame = spark.createDataFrame(list(enumerate(data)), "id long, image binary").selectExpr("id", "image", "'x' AS rep", "1 AS entry")
+    got = {r["id"]: r["component_id"] for r in media.copies(frame).collect()}
+    assert sum(got[i] == r for i, r in enumerate(root)) >= 0.98 * len(root)
+    assert media.copies(frame.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("shape", ["path", "hub", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(7)
