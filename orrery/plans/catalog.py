@@ -443,3 +443,6 @@ def first_hit(e: Estate) -> DataFrame:
 def redaction(e: Estate) -> DataFrame:
     d = e.table("documents").filter(F.col("text").rlike(r"(?i)(token|secret|password|api_key)\s*=\s*\S"))
     return d.select("doc_id", S.redacted(F.col("text")).alias("text"))
+
+
+from . import impact  # noqa: E402, F401  registers its queries
