@@ -151,6 +151,17 @@ def test_lines(spark, empty):
     assert lines.removed_units(empty).count() == 0
 
 
+def test_lines_of_short_sentences(spark):
+    line = "one two. three four! five six? seven."
+    mixed = "Short one. alpha beta gamma delta epsilon zeta eta."
+    long = "alpha beta gamma delta epsilon zeta eta."
+    docs = spark.createDataFrame([(1, f"a b\n{line}\n{mixed}"), (2, f"É {line}\n{line.upper()}"), (3, f"{mixed}\nnew. {long}"), (4, "one two. three.\none two. three.")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in lines.removed_units(docs).select("doc_id", "start", "end", "kept_doc_id", "kept_start").collect())
+    n, m = len(line), len(mixed)
+    assert got == [(2, n + 3, 2 * n + 3, 1, 4), (3, 0, m, 1, n + 5), (3, m + 6, m + 6 + len(long), 1, n + 5 + 11)]
+    assert {r["doc_id"]: r["text"] for r in lines.clean(docs).collect()}[3] == "\nnew. "
+
+
 def test_toxicity(spark, empty):
     rng, rows, labels = random.Random(3), [], []
     for i in range(900):
