@@ -227,6 +227,26 @@ def test_media_candidates_against_all_comparisons(spark):
     assert media.copies(frame.limit(0)).count() == 0
 
 
+def test_media_descriptors_seven_bits_apart_share_an_entry():
+    rng = np.random.default_rng(6)
+    for k in range(60):
+        one = rng.integers(0, 256, (1, 32), dtype=np.uint8)
+        flips = rng.choice(256, 7, replace=False) if k else np.arange(7) * 40  # at first one in each 40 bits
+        two = np.packbits(np.unpackbits(one, axis=1) ^ np.isin(np.arange(256), flips), axis=1)
+        assert set(media.entries(one)) & set(media.entries(two))
+
+
+def test_media_possible_loses_no_link():
+    rng = np.random.default_rng(9)
+    big = [np.kron(rng.integers(0, 255, (16, 16)), np.ones((4, 4))) for _ in range(12)]
+    greys = np.stack([*big, *[np.clip(g + rng.normal(0, 8, g.shape), 0, 255) for g in big]])
+    own = [(p, b.view(np.uint64)) for p, b in media.corners(greys)]
+    a, b = (k.ravel() for k in np.indices((len(own), len(own))))
+    maybe = media.possible([c for _, c in own], a, b)
+    links = [media.same_scene(own[i], own[j]) for i, j in zip(a, b, strict=True)]
+    assert sum(links) > 24 and all(maybe[links]) and maybe.sum() < len(a) / 2
+
+
 @pytest.mark.parametrize("shape", ["path", "hub", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(7)
