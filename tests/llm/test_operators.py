@@ -247,6 +247,17 @@ def test_media_possible_loses_no_link():
     assert sum(links) > 24 and all(maybe[links]) and maybe.sum() < len(a) / 2
 
 
+def test_media_links_a_quarter_of_a_large_image():
+    rng = np.random.default_rng(12)
+    linked = 0
+    for _ in range(3):
+        large = np.kron(rng.integers(0, 255, (64, 64)), np.ones((8, 8)))
+        (p, b), (q, d) = (media.corners(np.rint(g)[None])[0] for g in (large, large[131:387, 117:373] * 0.9))
+        assert len(p) > media.CORNERS * 32 and len(q) > media.CORNERS * 8 and set(media.entries(b)) & set(media.entries(d))
+        linked += media.same_scene((p, b.view(np.uint64)), (q, d.view(np.uint64)))
+    assert linked == 3
+
+
 @pytest.mark.parametrize("shape", ["path", "hub", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(7)
