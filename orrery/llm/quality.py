@@ -2,21 +2,22 @@
 
 Trusted text is that of documents whose label says quality 1. Characters are folded to 48 classes, so the model of order 4 of a
 language has at most 48**4 entries whatever the corpus: 21 MB. Counts of four-grams of all trusted texts are gathered by
-language in shards of the gram, and the discounts, continuation counts and back-off weights follow from them. Languages with
-less trusted text than the `languages` largest share one further model, so what is sent to executors has a fixed bound.
+language in shards of the gram, and the discounts, continuation counts and back-off weights follow from them. Models are sent
+to executors `languages` at a time, in as many passes as the languages need, so what is sent at once has a fixed bound.
 
 A document's perplexity is compared with the `quantile` of the trusted documents of its language.
 
 Defined results
     * null and empty texts have a null perplexity and are not kept; repeated rows get equal results
-    * a null language is a language of its own; one without a model or threshold uses those of the further model, and without
-      any trusted text every non-empty document is kept
+    * a null language is a language of its own; one without trusted text uses the model and threshold of all trusted text, and
+      without any trusted text every non-empty document is kept
     * further columns are ignored
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .tokens import texts_by_slice
 
 SIZE, ORDER = 48, 4
-START, OTHER = 47, ""
+START = 47
 
 
 def _classes() -> np.ndarray:
@@ -104,43 +105,35 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(p).reshape(-1).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, languages: int = 7) -> dict[str | None, np.ndarray]:
-    """A table of log probabilities for each of the languages with most trusted text, and one (key OTHER) for the rest."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str | None]]:
+    """Counts (lang, gram, n) of trusted text, and its languages, those with most text first."""
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
     table = count(docs.join(trusted.hint("merge"), "doc_id", "left_semi"))  # the same plan whatever the number of labels
     from .common import materialise
 
     table = materialise(table, "counts")
-    most = [r["lang"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    named = F.when(F.col("lang").isin([x for x in most if x is not None]), F.col("lang"))
-    models: dict[str | None, np.ndarray] = {}
-    folded = table.select(F.coalesce(named, F.when(F.col("lang").isNull(), F.lit("\0")), F.lit(OTHER)).alias("lang"), "gram", "n")
-    whole = np.zeros(SIZE**ORDER)
-    for lang in [*most, OTHER]:
-        key = "\0" if lang is None else lang
-        rows = folded.filter(F.col("lang") == key).groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-        c = np.zeros(SIZE**ORDER)
-        c[rows["gram"].to_numpy()] = rows["n"].to_numpy()
-        whole += c
-        if lang != OTHER:
-            models[lang] = kneser_ney(c)
-    if whole.any():
-        models[OTHER] = kneser_ney(whole)
-    return models
-
-
-def perplexity(docs: DataFrame, models: dict[str | None, np.ndarray]) -> DataFrame:
-    """doc_id, lang and perplexity of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
+    return table, [r["lang"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+
+
+def _model(rows: DataFrame) -> np.ndarray:
+    rows = rows.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    c = np.zeros(SIZE**ORDER)
+    c[rows["gram"].to_numpy()] = rows["n"].to_numpy()
+    return kneser_ney(c)
+
+
+def perplexity(docs: DataFrame, models: dict[str | None, np.ndarray], further: np.ndarray | None = None) -> DataFrame:
+    """doc_id, lang and perplexity of every row, null without a model; `further` is that of languages that models lacks."""
+    sent = docs.sparkSession.sparkContext.broadcast((models, further))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = sent.value
+        tables, rest = sent.value
         for batch in texts_by_slice(batches):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             out = np.full(len(texts), np.nan)
             for lang in set(langs):
                 own = [i for i, x in enumerate(langs) if x == lang and texts[i]]
-                table = tables.get(lang, tables.get(OTHER))
+                table = tables.get(lang, rest)
                 if own and table is not None:
                     code, at = grams([texts[i] for i in own])
                     out[own] = np.exp(-np.add.reduceat(table[code].astype(np.float64), at[:-1]) / np.diff(at))
@@ -153,14 +146,23 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, languag
     """doc_id, lang, perplexity, threshold and kept of every row."""
     from .common import materialise
 
-    models = train(docs, labels, languages)
-    named = [x for x in models if x not in (OTHER, None)]
-    rows = materialise(perplexity(docs, models), "perplexity").withColumn("key", F.when(F.col("lang").isin(named) | (F.col("lang").isNull() & F.lit(None in models)), F.coalesce("lang", F.lit("\0"))).otherwise(F.lit(OTHER)))
+    table, known_langs = train(docs, labels)
+    key = F.coalesce("lang", F.lit("\0"))
+    names = ["\0" if x is None else x for x in known_langs]
+    parts = []
+    for start in range(0, len(names), languages):
+        own = names[start : start + languages]
+        models = {known_langs[start + i]: _model(table.filter(key == x)) for i, x in enumerate(own)}
+        parts.append(materialise(perplexity(docs.filter(key.isin(own)), models), "perplexity").withColumn("key", key))
+    rest = docs.filter(~key.isin(names)) if names else docs
+    further = _model(table) if names else None
+    parts.append(materialise(perplexity(rest, {}, further), "perplexity").withColumn("key", F.lit(None).cast("string")))
+    rows = reduce(DataFrame.unionByName, parts)
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
     known = rows.join(trusted, "doc_id", "left_semi")
     limits = known.groupBy("key").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     whole = known.agg(F.percentile_approx("perplexity", quantile, 10000).alias("whole"))
-    # limits has at most languages + 1 rows, whole has one
+    # limits has a row for each language, whole has one
     out = rows.join(F.broadcast(limits), "key", "left").join(F.broadcast(whole), F.lit(True), "left")
     out = out.withColumn("threshold", F.coalesce("own", "whole"))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))

@@ -195,6 +195,18 @@ def test_quality_keeps_trusted_and_drops_junk(spark):
     assert not got[500] and not got[501] and sum(got[i] for i in range(200)) >= 190
 
 
+def test_quality_judges_each_of_nine_languages_by_its_own(spark):
+    rng = random.Random(8)
+    rows = [(100 * k + i, words(rng, 60), f"l{k}", None, 1, None) for k in range(8) for i in range(30)]
+    rows += [(900 + i, "".join(rng.choice("0123456789#@") for _ in range(60)), None if i % 2 else "small", None, 1, None) for i in range(40)]
+    rows += [(2000, words(rng, 60), "new", None, 1, None)]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows if r[0] < 2000], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality.classify(spark.createDataFrame(rows, SCHEMA), labels, languages=3).collect()}
+    assert len(got) == len(rows) and got[2000]["perplexity"] is not None
+    assert len({got[i]["threshold"] for i in [*range(0, 800, 100), 900, 901]}) == 10
+    assert sum(got[900 + i]["kept"] for i in range(40)) >= 38
+
+
 def test_media_finds_a_crop(spark):
     rng = np.random.default_rng(2)
     big = [np.kron(rng.integers(0, 255, (24, 24)), np.ones((5, 5))) for _ in range(4)]
