@@ -63,7 +63,7 @@ class Grammar:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
-            for term in {*entries, *THREAT}:
+            for term in {*(e.rstrip("$") for e in entries), *THREAT}:  # whole words too; insult() checks where they end
                 self.automaton.add_word(term, len(term))
             self.automaton.make_automaton()
 

@@ -180,6 +180,11 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.train(empty, marks)).count() == 0
 
 
+def test_toxicity_scores_a_clause_with_only_a_whole_word():
+    grammar = toxicity.Grammar({"zog$": 2.0})
+    assert grammar.features("Hello. You zog! Bye.")[0] > 0 == grammar.features("Hello. You zogs! Bye.")[0]
+
+
 def test_kneser_ney_sums_to_one():
     code, at = quality.grams(["abab abba. ", "", "Abracadabra"])
     assert at.tolist() == [0, 11, 11, 22]
