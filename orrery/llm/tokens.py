@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .spans import HashTable, SpanHash, spread, text_bytes, white, word_spans
+from .spans import HashTable, byte_hashes, same_spans, spread, text_bytes, white, word_spans
 
 #: Bytes that stand for themselves in the byte-level alphabet; the others follow from U+0100.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -27,48 +27,73 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class PieceTable:
-    """Ids of pieces of text by their hashes."""
+    """Ids of pieces of text, found by hash and confirmed by their bytes."""
 
-    def __init__(self, bits: int = 21):
-        self.table = HashTable(bits)
+    def __init__(self, bits: int = 21, most_bytes: int = 1 << 26):
+        self.table, self.most_bytes = HashTable(bits), most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.table.clear()
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+        self.raw, self.held = np.zeros(1 << 16, np.uint8), 0
+        #: where each piece's ids and bytes begin, and how many there are
+        self.start, self.length, self.at, self.size = (np.zeros(1 << 14, np.int64) for _ in range(4))
+        self.n = 0
 
-    def _room(self, ids: int, n: int) -> None:
+    def _room(self, n: int, ids: int, size: int) -> None:
+        while self.n + n > len(self.start):
+            self.start, self.length, self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.at, self.size))
         while self.used + ids > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + n > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-
-    def put(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self._room(len(ids), len(hashes))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[self.n : self.n + len(hashes)] = self.used + np.cumsum(lengths) - lengths
-        self.length[self.n : self.n + len(hashes)] = lengths
-        self.table.add(hashes, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
-        self.used, self.n = self.used + len(ids), self.n + len(hashes)
+        while self.held + size > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+
+    def _append(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[bytes]], list]) -> np.ndarray:
+        """Encode pieces and keep them; their numbers."""
+        flat = raw.tobytes()
+        got = encode([flat[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        lengths, size = np.fromiter(map(len, got), np.int64, len(got)), ends - starts
+        ids, total, n = int(lengths.sum()), int(size.sum()), len(got)
+        self._room(n, ids, total)
+        self.ids[self.used : self.used + ids] = np.fromiter((x for own in got for x in own), np.uint32, ids)
+        self.raw[self.held : self.held + total] = raw[spread(starts, size)]
+        own = np.arange(self.n, self.n + n)
+        self.start[own], self.length[own] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.at[own], self.size[own] = self.held + np.cumsum(size) - size, size
+        self.n, self.used, self.held = self.n + n, self.used + ids, self.held + total
+        return own
+
+    def _find(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 where its bytes are not held under its hash."""
+        at = self.table.find(hashes)
+        hit = np.flatnonzero(at >= 0)
+        there = at[hit]
+        good = self.size[there] == size[hit]
+        good[good] = same_spans(self.raw[: self.held], self.at[there[good]], raw, starts[hit[good]], size[hit[good]])
+        at[hit[~good]] = -1
+        return at
 
     def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[bytes]], list]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the pieces and the number of ids of each."""
-        hashes = SpanHash(raw).of(starts, ends)
-        at = self.table.find(hashes)
-        if (at < 0).any():
-            new, first = np.unique(hashes[at < 0], return_index=True)
-            where = np.flatnonzero(at < 0)[first]
-            if self.table.full(len(new)):
+        hashes, size = byte_hashes(raw, starts, ends), ends - starts
+        at = self._find(hashes, raw, starts, size)
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new, first = np.unique(hashes[miss], return_index=True)
+            if self.table.full(len(new)) or self.n > len(self.table.keys) or self.held > self.most_bytes:
                 self.clear()
-                new, where = np.unique(hashes, return_index=True)
+                miss = np.arange(len(hashes))
+                new, first = np.unique(hashes, return_index=True)
                 while self.table.full(len(new)):
                     self.table = HashTable(self.table.bits + 1)
-            flat = raw.tobytes()
-            got = encode([flat[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            self.put(new, np.fromiter((x for ids in got for x in ids), np.uint32, int(lengths.sum())), lengths)
-            at = self.table.find(hashes)
+            free = self.table.find(new) < 0
+            where = miss[first[free]]
+            self.table.add(new[free], self._append(raw, starts[where], ends[where], encode).astype(np.int32))
+            at[miss] = self._find(hashes[miss], raw, starts[miss], size[miss])
+            other = np.flatnonzero(at < 0)  # a hash that other bytes hold: a number of its own, for this batch
+            if len(other):
+                at[other] = self._append(raw, starts[other], ends[other], encode)
         lengths = self.length[at]
         return self.ids[spread(self.start[at], lengths)], lengths
 
