@@ -53,7 +53,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialise` that nothing will read again; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_folder", None)
+        if path is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            _drop(jvm.org.apache.hadoop.fs.Path(path), df.sparkSession.sparkContext._jsc.hadoopConfiguration())
 
 
 def whole_text(col: str = "text"):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +60,10 @@ def _contracted(links: DataFrame, block: int = 1 << 20) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node of links(a, b). Links to itself are no links."""
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    before: tuple[DataFrame, ...] = ()
     while True:
         edges = materialise(_contracted(edges), "stars")
+        discard(*before)  # what the new stars were made of
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(1).alias("up"), F.lit(0).alias("down"))
         ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         nodes = ends.groupBy("node").agg(F.min("other").alias("m"), F.count_if(F.col("up") > 0).alias("up"), F.max("down").alias("down"))
@@ -74,4 +76,5 @@ def components(links: DataFrame) -> DataFrame:
         large = materialise(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before = (edges, nodes, large)
         edges = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

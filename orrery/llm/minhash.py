@@ -13,8 +13,10 @@ texts: only links leave it. So no candidate is lost.
 
 Defined results
     * null, empty and white texts have no shingles and are linked with nothing; under five words the whole sequence is one
-    * repeated texts are one class; rows with a null doc_id take the component of their class, and are kept only if it has
-      no other id; further columns are ignored by `near_duplicates` and kept by `deduplicate`
+    * repeated texts are one class; a row with a null doc_id takes part like any other: its component's id is the smallest
+      doc_id there, null if there is none, and then all its rows count as kept; rows that repeat a kept doc_id do too
+    * `deduplicate` keeps one row of each component whatever its ids, and all rows without words
+    * further columns are ignored by `near_duplicates` and kept by `deduplicate`
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, whole_text
 from .components import components
-from .spans import SpanHash, U, lower_ascii, mix, text_bytes, word_spans
+from .spans import U, byte_hashes, lower_ascii, mix, text_bytes, window_hashes, word_spans
 from .tokens import texts_by_slice
 
 WIDTH, BANDS, ROWS, BITS = 5, 32, 4, 4
@@ -37,22 +39,21 @@ MINIMA = BANDS * ROWS
 _rng = np.random.default_rng(6)
 _FACTOR = (_rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
-FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>, packed array<long>"
+FEATURES = "doc_id long, row long, n_shingles long, set_key binary, bands array<long>, packed array<long>"
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw, at = text_bytes(column)
     starts, ends, first = word_spans(raw, at)
-    words = SpanHash(lower_ascii(raw)).of(starts, ends)
-    shingles = SpanHash(words)
+    words = byte_hashes(lower_ascii(raw), starts, ends)
+    whole = window_hashes(words, width)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if a == b:
-            yield words[:0]
-            continue
-        n = max(1, b - a - width + 1)
-        begin = np.arange(a, a + n)
-        yield np.unique(shingles.of(begin, np.minimum(begin + width, b)))
+        if b - a >= width:
+            own = np.sort(whole[a : b - width + 1])
+            yield own[np.append(True, own[1:] != own[:-1])]
+        else:
+            yield window_hashes(words[a:b], b - a) if b > a else words[:0]
 
 
 def minima(own: np.ndarray) -> np.ndarray:
@@ -84,6 +85,8 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text and row, the number of the row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts_by_slice(batches):
             n, keys, bands, packed = [], [], [], []
@@ -97,11 +100,11 @@ def features(docs: DataFrame) -> DataFrame:
                 bands.append(band_keys(low)), packed.append(packed_bits(low))
             numbers = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, numbers), pa.array(packed, numbers)],
-                names=["doc_id", "n_shingles", "set_key", "bands", "packed"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, numbers), pa.array(packed, numbers)],
+                names=["doc_id", "row", "n_shingles", "set_key", "bands", "packed"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
+    return docs.select("doc_id", "text", "row").mapInArrow(run, FEATURES)
 
 
 def _ones() -> int:
@@ -149,7 +152,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, per_unit: int =
     counts = counts.withColumn("units", F.ceil(F.col("n") / per_unit).cast("int"))
     units = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.col("a").alias("doc"), F.lit(0).alias("role"))
     members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("units")).cast("int").alias("unit"), F.col("b").alias("doc"), F.lit(1).alias("role"))
-    rows = units.unionByName(members).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    rows = units.unionByName(members).join(texts.withColumnRenamed("row", "doc"), "doc")
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("role", "ascending"), ("doc", "ascending")])
@@ -187,7 +190,7 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, f
         F.ceil(F.greatest(F.col("m") / columns, F.col("mn") / shingles)).cast("int").alias("cs"),
         F.ceil(F.greatest(F.col("o") / rows, F.col("on") / shingles)).cast("int").alias("rs"),
     )
-    sides = sides.join(size, "band").join(texts.select(F.col("doc_id").alias("rep"), "text").hint("merge"), "rep")
+    sides = sides.join(size, "band").join(texts.select(F.col("row").alias("rep"), "text").hint("merge"), "rep")
     near = sides.filter("out").withColumn("r", F.pmod(F.xxhash64("rep"), F.col("rs")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
     far = sides.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("cs")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
     names = ["band", "r", "c", "rep", "root", "out", "n", "bands", "packed", "text"]
@@ -225,9 +228,7 @@ def _links(reps: DataFrame, docs: DataFrame, percent: int, floor: float, pivot_r
     members = materialise(buckets.join(shared, "band").select("band", "rep", "pivot"), "buckets")
     # a representative shares a bucket with another or is linked with nothing
     reps = materialise(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "bands", "packed"), "packed")
-    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
-    texts = texts.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    texts = materialise(texts.dropDuplicates(["doc_id"]), "texts")
+    texts = materialise(docs.select("row", "text").join(reps.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi"), "texts")
     roots = None
     pairs = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     pairs = materialise(_candidates(pairs, reps, percent, floor), "candidates")
@@ -259,25 +260,35 @@ def _links(reps: DataFrame, docs: DataFrame, percent: int, floor: float, pivot_r
 
 
 def classes(docs: DataFrame, percent: int = 75, floor: float = 0.57, pivot_rounds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The features of every row, and the component of every set of shingles."""
+    """The features of every row of written docs(doc_id, text, row), and for every set of shingles the smallest doc_id of its
+    component and the first of its rows. Nodes are numbers of rows, as a doc_id may be null or stand for several texts."""
     rows = materialise(features(docs), "features")
-    named = rows.filter(F.col("set_key").isNotNull())
-    best = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "n_shingles", "bands", "packed")
-    sets = materialise(named.groupBy("set_key").agg(F.min(best).alias("s")).select("set_key", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.bands", "s.packed"), "sets")
-    roots = _links(sets.filter(F.col("rep").isNotNull()).drop("set_key"), docs, percent, floor, pivot_rounds)
-    comps = sets.select("set_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return rows, comps.select("set_key", F.coalesce("root", "rep").alias("component_id"))
+    best = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+    sets = rows.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min(best).alias("s"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    sets = materialise(sets.select("set_key", F.col("s.row").alias("rep"), "s", "n", "bands", "packed"), "sets")
+    roots = _links(sets.select("rep", "n", "bands", "packed"), docs, percent, floor, pivot_rounds)
+    comps = materialise(sets.select("set_key", "rep", "s").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "root", "s"), "comps")
+    top = comps.filter("root IS NOT NULL").groupBy("root").agg(F.min("s").alias("top"))
+    comps = comps.join(top, "root", "left").select("set_key", F.coalesce("top", "s").alias("top"))
+    return rows, comps.select("set_key", F.col("top.doc_id").alias("component_id"), F.col("top.row").alias("first_row"))
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    rows, comps = classes(docs, percent)
+    return rows.select("doc_id", "row", "n_shingles", "set_key").join(comps, "set_key", "left")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    rows, comps = classes(docs, percent)
-    out = rows.select("doc_id", "n_shingles", "set_key").join(comps, "set_key", "left")
+    out = _components(materialise(docs.select("doc_id", whole_text().alias("text"), F.monotonically_increasing_id().alias("row")), "rows"), percent)
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of docs that stay: one document of each component, with all its columns."""
-    gone = near_duplicates(docs, percent).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, with all their columns: the first row of each component, by doc_id, and all without words."""
+    names = docs.columns
+    rows = materialise(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = _components(rows.select("doc.doc_id", F.coalesce("doc.text", F.lit("")).alias("text"), "row"), percent)
+    gone = materialise(found.filter("set_key IS NOT NULL AND row <> first_row").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*[F.col(f"doc.`{c}`").alias(c) for c in names])
