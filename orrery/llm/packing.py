@@ -6,7 +6,7 @@ the fewest windows its tokens need: the two partial partitions with the largest
 fullest windows of one with the emptiest of the other. If a window then exceeds the capacity, the count of windows rises.
 
 Defined results
-    * null and empty texts are the end mark alone; repeated rows are packed once for each row
+    * null and empty texts are the end mark alone; repeated rows are packed once for each row; a null doc_id stays null
     * sequence ids are distinct but not dense; offsets within a sequence have no gaps
     * further columns are ignored; an empty table gives an empty result
 """
@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,19 +113,20 @@ def pack(docs: DataFrame, window: int = 2048, grain: int = 512, per_group: int =
     rest = cut.filter(F.col("length") < window)
     n_groups = max(1, -(-rest.count() // per_group))
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "row"], ascending=[False, True, True, True], ignore_index=True)
-        sizes = group["length"].tolist()
+    def fill(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("row", "ascending")])
+        sizes = group.column("length").to_pylist()
         place, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for w, held in enumerate(windows(sizes, window)):
             at = 0
             for i in held:
                 place[i], offset[i] = w, at
                 at += sizes[i]
-        return group.assign(sequence_id=2 * (group["group"] * (1 << 24) + place) + 1, offset=offset)[names]
+        sequence = 2 * (key[0].as_py() * (1 << 24) + place) + 1
+        return group.select(names[:5]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     rest = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(n_groups)))
-    packed = rest.groupBy("group").applyInPandas(fill, PIECE + ", sequence_id long, offset long")
+    packed = rest.groupBy("group").applyInArrow(fill, PIECE + ", sequence_id long, offset long")
     alone = whole.withColumns({"sequence_id": 2 * F.col("row"), "offset": F.lit(0).cast("long")})
     return alone.select(*names).unionByName(packed.select(*names))
