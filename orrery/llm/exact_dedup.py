@@ -27,7 +27,7 @@ def text_digest(text: Column) -> Column:
 
 
 def _short(digest: Column) -> Column:
-    """The first eight bytes as a number: the sketch's item."""
+    """The first seven bytes as a number: the sketch's item."""
     return F.conv(F.hex(F.substring(digest, 1, 7)), 16, 10).cast("long")
 
 
@@ -63,9 +63,11 @@ def groups(docs: DataFrame, max_heavy: int = 256, tracked: int = 4096, least: in
     keys = frequent_keys(d, max_heavy, tracked, least)
     d = d.withColumn("best", _order())
     winners = heavy_winners(d, keys, F.col("best"))
-    same = Window.partitionBy("digest")
     light = d.filter(~F.col("key").isin(keys)) if keys else d
-    light = light.select("doc_id", "digest", "row", F.count(F.lit(1)).over(same).alias("group_size"), F.min("best").over(same).alias("best"))
+    # partial aggregates first: a digest's rows meet as one row a task, and only digests of several rows come back
+    several = light.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("best").alias("top")).filter("n > 1")
+    light = light.join(several.withColumnRenamed("digest", "same"), F.col("digest") == F.col("same"), "left")
+    light = light.select("doc_id", "digest", "row", F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce("top", "best").alias("best"))
     if keys:
         heavy = d.filter(F.col("key").isin(keys)).drop("best").join(F.broadcast(winners), "digest")
         light = light.unionByName(heavy.select(*light.columns))
@@ -90,5 +92,5 @@ def deduplicate(docs: DataFrame, max_heavy: int = 256, tracked: int = 4096, leas
         best = F.broadcast(winners.select(F.col("digest").alias("hot"), F.col("best.id").alias("hot_id")))
         rows = rows.join(best, F.col("digest") == F.col("hot"), "left")
         rows = rows.filter(F.col("hot").isNull() | F.col("doc.doc_id").eqNullSafe(F.col("hot_id"))).drop("hot", "hot_id")
-    first = Window.partitionBy("digest").orderBy(F.length(F.col("doc.text")).desc_nulls_last(), F.col("doc.doc_id").asc_nulls_last())
+    first = Window.partitionBy("digest").orderBy(F.length(F.coalesce(F.col("doc.text"), F.lit(""))).desc(), F.col("doc.doc_id").asc_nulls_last())
     return rows.withColumn("rank", F.row_number().over(first)).filter("rank = 1").select("doc.*")
