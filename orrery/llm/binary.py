@@ -3,7 +3,7 @@
 Documents are dealt by ranges of doc_id. Each task writes two files into the shared folder: the ids one after the other as
 little-endian unsigned integers of the least width that holds the vocabulary, and for each document its id and the 64-bit
 offset at which it begins. A small table of parts, one row for each, gives the base of a part by a prefix sum. Readers map the
-files into memory where the folder is a local path, else read them through the file system's own client.
+files into memory where the folder is a local path, else read ranges of them through the file system's own client.
 
 A task writes under a name of its own attempt and reports it, so a repeated task leaves no doubt about which file counts.
 
@@ -41,8 +41,8 @@ def id_width(vocabulary: int) -> int:
     return 2 if vocabulary <= 1 << 16 else 4
 
 
-def write(docs: DataFrame, folder: str, vocabulary: int = 49408, path: str | None = None, engine: str = "library") -> DataFrame:
-    """Write the files and return the table of parts."""
+def write(docs: DataFrame, folder: str, vocabulary: int = 49408, path: str | None = None, engine: str = "library", part_bytes: int = 32 << 20) -> DataFrame:
+    """Write the files and return the table of parts, one for each part_bytes of text."""
     path = path or tokenizer_path("word_bpe_49k.json")
     width = id_width(vocabulary)
 
@@ -77,7 +77,8 @@ def write(docs: DataFrame, folder: str, vocabulary: int = 49408, path: str | Non
         whole = pa.int64()
         return pa.schema([("part", whole), ("file", pa.string()), ("first_doc", whole), ("docs", whole), ("ids", whole), ("width", pa.int32())])
 
-    spread = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    spread = docs.select("doc_id", "text").repartitionByRange(max(1, -(-size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(spread.mapInArrow(run, PART), "parts")
 
 
@@ -90,22 +91,30 @@ def bases(spark: SparkSession, parts: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "part long, file string, docs long, ids long, width int, base long")
 
 
-def map_file(folder: str, name: str, dtype: str, count: int, offset: int = 0) -> np.ndarray:
-    store, base = _open(folder)
-    if store.type_name == "local":
-        return np.memmap(f"{base}/{name}", dtype=dtype, mode="r", offset=offset, shape=(count,)) if count else np.zeros(0, dtype)
-    with store.open_input_file(f"{base}/{name}") as f:
-        f.seek(offset)
-        return np.frombuffer(f.read(count * np.dtype(dtype).itemsize), dtype)
+class Mapped:
+    """A file of numbers: mapped into memory where the folder is local, else read range by range."""
 
+    def __init__(self, folder: str, name: str):
+        self.store, base = _open(folder)
+        self.path = f"{base}/{name}"
 
-def read_part(folder: str, name: str, docs: int, ids: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, offsets (one more) and ids of a part."""
-    return (
-        map_file(folder, f"{name}.idx", "<i8", docs),
-        map_file(folder, f"{name}.idx", "<u8", docs + 1, 8 * docs),
-        map_file(folder, f"{name}.bin", f"<u{width}", ids),
-    )
+    def read(self, dtype: str, count: int, offset: int = 0) -> np.ndarray:
+        """count numbers from the byte offset on."""
+        if not count:
+            return np.zeros(0, dtype)
+        if self.store.type_name == "local":
+            return np.memmap(self.path, dtype=dtype, mode="r", offset=offset, shape=(count,))
+        with self.store.open_input_file(self.path) as f:
+            return np.frombuffer(f.read_at(count * np.dtype(dtype).itemsize, offset), dtype)
+
+
+def read_part(folder: str, name: str, docs: int, width: int, step: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, offsets (one more) and ids of `step` documents of a part at a time, so that what is held is bounded."""
+    index, flat = Mapped(folder, f"{name}.idx"), Mapped(folder, f"{name}.bin")
+    for a in range(0, docs, step):
+        n = min(step, docs - a)
+        offsets = index.read("<u8", n + 1, 8 * (docs + a)).astype(np.int64)
+        yield index.read("<i8", n, 8 * a), offsets, flat.read(f"<u{width}", int(offsets[-1] - offsets[0]), int(offsets[0]) * width)
 
 
 def read_back(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
@@ -114,10 +123,9 @@ def read_back(spark: SparkSession, folder: str, parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, offsets, ids = read_part(folder, r["file"], r["docs"], r["ids"], r["width"])
-                for a in range(0, len(keys), 4096):
-                    own, at = keys[a : a + 4096], offsets[a : a + 4097].astype(np.int64)
-                    sums = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                for own, at, ids in read_part(folder, r["file"], r["docs"], r["width"]):
+                    bounds = zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)
+                    sums = [zlib.crc32(ids[x:y].astype("<u4")) for x, y in bounds]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(own, pa.int64(), mask=own == NO_DOC), pa.array(at[:-1] + r["base"], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
