@@ -1,17 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 1).
 
-Five small transducers read the words of a clause in step: insult and threat emit weights, and target, negation and reported
-speech hold states that scale what is emitted. A document is judged by its matched clauses, not by single words. The insult
-transducer's entries, whole words and word beginnings, and the final logistic weights are learned from labelled rows.
+A clause is read word by word. The lexicon transducer turns a word into a symbol: an insult of a level of one to eight, a threat
+verb, a word of intent, a target, a negation, a word of reported speech, or any other; a word of the lexicon may also pass as any
+other. Four transducers over symbols follow: threat (a verb of harm after a word of intent, or with a target), target (before or
+after the insult), negation (the words after it) and reported speech (the rest of the clause). They are composed into one, whose
+states are the reachable combinations. Weights add up along a path, and a clause's score is that of its best path. A document
+is judged by the scores of its matched clauses and its length, never by single words outside them.
 
-`max_labelled` bounds the rows that are learned from (the first by a hash of doc_id); two thirds of them give the entries, the
+The lexicon's insults, whole words and word beginnings, and the final logistic weights are learned from labelled rows; the other
+word classes are closed and given.
+
+`max_labelled` bounds the rows that are learned from (the first by a hash of doc_id); two thirds of them give the lexicon, the
 rest the logistic weights. Rows whose crc32(doc_id) is divisible by 5 are never learned from. labels, lang, source and doc_id
 are no inputs of a score.
 
 Defined results
     * null, empty and white texts get the score of a text without any match; repeated rows get equal scores
-    * a doc_id labelled more than once counts as toxic if any of its labels does; a null label or doc_id is no label
-    * without a label of either kind every score is 0; further columns are ignored by `score` and kept by `reject`
+    * a doc_id labelled more than once counts as toxic if any of its labels does; a null label or doc_id is no label; a null
+      doc_id is scored, and is not held out
+    * without a label of either kind, or without any insult learned, every score is 0
+    * further columns are ignored by `score` and kept by `reject`
 """
 
 from __future__ import annotations
@@ -30,71 +38,160 @@ from pyspark.sql import functions as F
 from .common import materialise, whole_text
 from .tokens import texts_by_slice
 
-TARGET = {"you", "your", "yours", "he", "she", "they", "them", "du", "dich", "dein", "ihr", "euch", "toi", "vous", "votre", "usted", "ustedes", "tus"}
-NEGATION = {"not", "never", "nobody", "isn", "aren", "wasn", "nicht", "kein", "keine", "niemals", "jamais", "aucun", "nunca", "ninguno", "tampoco"}
-REPORT = {"said", "says", "wrote", "claimed", "quoted", "called", "sagte", "schrieb", "nannte", "disait", "écrit", "dijo", "escribió"}
-THREAT = {"kill", "hurt", "destroy", "shoot", "stab", "strangle", "töten", "umbringen", "verletzen", "tuer", "frapper", "matar", "golpear"}
+#: Closed word classes in English, German, French and Spanish.
+CLASSES = {
+    "y": "you your yours yourself u ur he him his she her they them their du dich dir dein deine ihr euch euer sie ihn ihm toi tu te vous votre vos lui leur tú ti usted ustedes vosotros tus ellos",
+    "n": "not no never nobody none neither nor hardly isn aren wasn weren don doesn didn won wouldn cannot without nicht kein keine keinen niemals nie weder pas jamais aucun aucune sans ni nunca ningún ninguno ninguna tampoco jamás sin",
+    "r": "said says say saying wrote writes claimed claims quoted quotes called calls alleged reported sagte sagt schrieb nannte nennt behauptet zitiert disait dit écrit appelle prétend cite dijo dice escribió llamó afirma cita",
+    "w": "will gonna going shall must should want wanna let ll werde werden will wollen soll muss vais va veux dois allons voy va vas quiero debo vamos",
+    "v": "kill hurt destroy shoot stab strangle beat burn crush hang slaughter murder töten umbringen verletzen erschießen verprügeln tuer frapper massacrer égorger brûler matar golpear destruir quemar degollar",
+}
 WORD, CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;\n]+")
-SHORTEST, LONGEST = 4, 9
-
-
-class Transducer:
-    """Reads one word class after the other; a state lasts for `reach` words and gives a factor."""
-
-    def __init__(self, trigger: set[str], factor: float, reach: int):
-        self.trigger, self.factor, self.reach = trigger, factor, reach
-
-    def run(self, words: list[str]) -> list[float]:
-        out, left = [], 0
-        for w in words:
-            left = self.reach if w in self.trigger else left - 1
-            out.append(self.factor if left > 0 else 1.0)
-        return out
+SHORTEST, LONGEST, LEVELS = 4, 9, 8
+BEFORE, AFTER, NEGATED, INTENT = 6, 3, 4, 3
+#: What a target adds to an emitted weight, and what negation and reported speech take, as shares; the weight of a threat.
+TARGETED, DENIED, QUOTED, THREAT = 0.5, 0.6, 0.4, 4
+
+Arcs = dict[object, dict[str, list[tuple[str, float, object]]]]
+
+
+def compose(one: Arcs, two: Arcs) -> Arcs:
+    """The transducer that feeds each output of one to two: its reachable states from (0, 0). Both read one symbol a step."""
+    out: Arcs = {}
+    todo = [(0, 0)]
+    while todo:
+        state = todo.pop()
+        if state in out:
+            continue
+        a, b = one[state[0]], two[state[1]]
+        out[state] = arcs = {}
+        for symbol, steps in a.items():
+            arcs[symbol] = [(o2, w1 + w2, (n1, n2)) for o1, w1, n1 in steps for o2, w2, n2 in b.get(o1, ())]
+            todo += [n for _, _, n in arcs[symbol]]
+    names = {s: k for k, s in enumerate(out)}  # (0, 0) is state 0
+    return {names[s]: {x: [(o, w, names[n]) for o, w, n in steps] for x, steps in arcs.items()} for s, arcs in out.items()}
+
+
+INSULTS = [f"i{k}" for k in range(1, LEVELS + 1)]
+SIGNS = [*INSULTS, "t", "y", "n", "r", "o"]
+END = "$"  # read after a clause's last word
+
+
+def _weight(symbol: str) -> float:
+    """What an insult or threat emits before the other transducers: its level."""
+    return float(symbol[1:]) if symbol in INSULTS else float(THREAT) if symbol == "t" else 0.0
+
+
+def threats() -> Arcs:
+    """v becomes t within INTENT words after w; else it is v still, which only a target makes a threat."""
+    out: Arcs = {}
+    for left in range(INTENT + 1):
+        arcs = {x: [(x, 0.0, max(0, left - 1))] for x in (*INSULTS, "y", "n", "r", "o")}
+        arcs["w"] = [("o", 0.0, INTENT)]
+        arcs["v"] = [("t", float(THREAT), 0)] if left else [("v", 0.0, 0)]
+        arcs[END] = [(END, 0.0, 0)]
+        out[left] = arcs
+    return out
+
+
+def targets() -> Arcs:
+    """Insults and threats gain a share of their weight where a target is at most BEFORE words before or AFTER words after; a v
+    without a target is any other word. A state holds the words since a target and, on a path that counts on one to come, the
+    words left for it: such a path ends without one."""
+    out: Arcs = {}
+    for since in range(BEFORE + 1):
+        for due in range(AFTER + 1):
+            state = (since, due)
+            arcs = out[state] = {}
+
+            def go(gain: bool = False, since=since, due=due) -> list:
+                if due == 1 and not gain:
+                    return []
+                return [(max(0, since - 1), max(0, due - 1))]
+
+            for x in (*INSULTS, "t", "v"):
+                seen, plain = [], "t" if x == "v" else x
+                for n in go():
+                    base = THREAT if x == "v" else 0
+                    if since:
+                        seen.append((plain, base + TARGETED * (_weight(plain)), n))
+                    else:
+                        seen.append(("o" if x == "v" else x, 0.0, n))
+                        seen.append((plain, base + TARGETED * _weight(plain), (n[0], n[1] or AFTER)))
+                arcs[x] = seen
+            for x in ("n", "r", "o"):
+                arcs[x] = [(x, 0.0, n) for n in go()]
+            arcs["y"] = [("y", 0.0, (BEFORE, 0))]
+            arcs[END] = [] if due else [("o", 0.0, (0, 0))]
+    names = {s: k for k, s in enumerate(out)}
+    return {names[s]: {x: [(o, w, names[n]) for o, w, n in steps] for x, steps in arcs.items()} for s, arcs in out.items()}
+
+
+def negations() -> Arcs:
+    """Insults and threats lose a share of their weight in the NEGATED words after n."""
+    out: Arcs = {}
+    for left in range(NEGATED + 1):
+        out[left] = {x: [(x, -DENIED * _weight(x) if left else 0.0, NEGATED if x == "n" else max(0, left - 1))] for x in SIGNS}
+    return out
+
+
+def reports() -> Arcs:
+    """Insults and threats lose a share of their weight from r to the end of the clause."""
+    return {s: {x: [(x, -QUOTED * _weight(x) if s else 0.0, 1 if x == "r" else s)] for x in SIGNS} for s in (0, 1)}
 
 
 class Grammar:
-    """The composition: emitted weights times the factors of all states that hold at that word."""
+    """The composed transducer and the lexicon before it."""
 
     def __init__(self, entries: dict[str, float]):
-        self.entries = entries
-        self.states = [Transducer(TARGET, 1.5, 6), Transducer(NEGATION, 0.4, 4), Transducer(REPORT, 0.6, 12)]
-        self.automaton = None
-        if entries or THREAT:
-            import ahocorasick
-
-            self.automaton = ahocorasick.Automaton()
-            for term in {*(e.rstrip("$") for e in entries), *THREAT}:  # whole words too; insult() checks where they end
-                self.automaton.add_word(term, len(term))
-            self.automaton.make_automaton()
-
-    def insult(self, word: str) -> float:
-        """The weight of the word, or of its longest beginning that is an entry."""
-        if f"{word}$" in self.entries:
-            return self.entries[f"{word}$"]
+        import ahocorasick
+
+        self.entries = {e: max(1, min(LEVELS, round(w))) for e, w in entries.items()}
+        self.classes = {w: c for c, words in CLASSES.items() for w in words.split()}
+        self.arcs = compose(compose(compose(threats(), targets()), negations()), reports())
+        self.automaton = ahocorasick.Automaton()
+        for term in {*(e.rstrip("$") for e in entries), *CLASSES["v"].split()}:  # whole words too; insult() checks where they end
+            self.automaton.add_word(term, len(term))
+        self.automaton.make_automaton()
+
+    def insult(self, word: str) -> int:
+        """The level of the word, or of its longest beginning that is an entry."""
+        if (got := self.entries.get(f"{word}$")) is not None:
+            return got
         for n in range(min(len(word), LONGEST), SHORTEST - 1, -1):
             if (got := self.entries.get(word[:n])) is not None:
                 return got
-        return 0.0
-
-    def clause(self, words: list[str]) -> tuple[float, int, int]:
-        factors = [t.run(words) for t in self.states]
-        total, insults, threats = 0.0, 0, 0
-        for i, w in enumerate(words):
-            weight = self.insult(w)
-            insults += weight > 0
-            if w in THREAT:
-                threats += 1
-                weight += 1.0
-            if weight:
-                total += weight * math.prod(f[i] for f in factors)
-        return total, insults, threats
+        return 0
+
+    def symbols(self, word: str) -> list[tuple[str, float]]:
+        """What the lexicon transducer makes of a word: symbols with weights."""
+        own = self.classes.get(word, "o")
+        out = [(own, 0.0)]
+        if level := self.insult(word) if own == "o" else 0:
+            out.append((f"i{level}", float(level)))
+        elif own == "v":
+            out.append(("o", 0.0))
+        return out
+
+    def clause(self, words: list[str]) -> float:
+        """The weight of the best path."""
+        best: dict[object, float] = {0: 0.0}
+        for choices in [*map(self.symbols, words), [(END, 0.0)]]:
+            after: dict[object, float] = {}
+            for state, held in best.items():
+                for symbol, w in choices:
+                    for _, v, n in self.arcs[state][symbol]:
+                        if after.get(n, -1.0) < held + w + v:
+                            after[n] = held + w + v
+            best = after
+        return max(best.values(), default=0.0)
 
     def features(self, text: str) -> list[float]:
-        """Log-scaled total, densest clause, matched clauses and words, threats, total by length, and length."""
+        """From the scores of the matched clauses: log-scaled total, best, log-scaled number and total by length; and length."""
         low, n = text.lower(), len(text)
         marked = sorted({end - size + 1 for end, size in self.automaton.iter(low) if not low[end - size].isalpha() or end - size < 0}) if low.strip() else []
         total = top = 0.0
-        clauses = insults = threats = 0
+        clauses = 0
         if marked:
             stops = [m.start() for m in CLAUSE.finditer(low)] + [n + len(low)]
             last = -1
@@ -103,11 +200,11 @@ class Grammar:
                 if k == last:
                     continue
                 last = k
-                score, i, t = self.clause(WORD.findall(low[stops[k - 1] if k else 0 : stops[k]]))
-                if score:
-                    total, top, clauses, insults, threats = total + score, max(top, score), clauses + 1, insults + i, threats + t
+                score = self.clause(WORD.findall(low[stops[k - 1] if k else 0 : stops[k]]))
+                if score > 0:
+                    total, top, clauses = total + score, max(top, score), clauses + 1
         size = 1 + n / 400
-        return [math.log1p(total), top, math.log1p(clauses), math.log1p(insults), math.log1p(threats), math.log1p(10 * total / size), math.log1p(10 * insults / size), math.log(size)]
+        return [math.log1p(total), top, math.log1p(clauses), math.log1p(10 * total / size), math.log(size)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -115,11 +212,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """text, toxic and part of at most max_labelled rows that may be learned from."""
+    """text, toxic and part of at most max_labelled rows that may be learned from; copies of a text count once."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(known), "doc_id")
-    return materialise(rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)).cast("int").alias("part")), "labelled")
+    part = F.pmod(F.xxhash64("text"), F.lit(3)).cast("int").alias("part")
+    return materialise(rows.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")).select("text", "toxic", part), "labelled")
 
 
 def _terms(text: str) -> set[str]:
@@ -127,8 +225,9 @@ def _terms(text: str) -> set[str]:
     return {f"{w}$" for w in words if len(w) > 2} | {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def learn_entries(rows: DataFrame, most: int = 3000, least: int = 3) -> dict[str, float]:
-    """Entries with their weights: log odds of a document's being toxic, less one standard error, by document counts."""
+def learn_entries(rows: DataFrame, least: int = 3) -> dict[str, float]:
+    """Entries with their weights: log odds of a document's being toxic, less two standard errors, by document counts. Their
+    number is bounded by the terms of the labelled rows, whose number is a parameter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts_by_slice(batches):
@@ -142,9 +241,11 @@ def learn_entries(rows: DataFrame, most: int = 3000, least: int = 3) -> dict[str
     if not n1 or not n0:
         return {}
     t = rows.select("text", "toxic").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("a"), F.sum("good").alias("b")).filter(F.col("a") >= least)
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1)) - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    got = t.withColumn("w", odds).filter("w > 1").orderBy(F.desc("w"), "term").limit(most).collect()
-    return {r["term"]: r["w"] for r in got}
+    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1)) - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    got = {r["term"]: r for r in t.withColumn("w", odds).filter("w > 1").collect()}
+    # a beginning that only one longer beginning has is that one
+    short = {x[:-1] for x, r in got.items() if x[-1] != "$" and (s := got.get(x[:-1])) and (s["a"], s["b"]) == (r["a"], r["b"])}
+    return {x: r["w"] for x, r in got.items() if x not in short}
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
@@ -172,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 9000) -> Model
     entries = learn_entries(rows.filter("part < 2"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = Grammar({k: v for k, v in entries.items()})
+        grammar = Grammar(entries)
         for batch in texts_by_slice(batches):
             yield pa.RecordBatch.from_arrays([pa.array([grammar.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
@@ -203,9 +304,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose score is under 0.5, with all their columns."""
+    plain = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in texts_by_slice(batches, 12_000_000):
-            yield batch.filter(pa.array([s < 0.5 for s in score_texts(model, batch.column("text").to_pylist())], pa.bool_()))
+            yield batch.select(["doc"]).filter(pa.array([s < 0.5 for s in score_texts(model, batch.column("text").to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.select("doc").schema).select("doc.*")

@@ -183,6 +183,33 @@ def test_toxicity(spark, empty):
 def test_toxicity_scores_a_clause_with_only_a_whole_word():
     grammar = toxicity.Grammar({"zog$": 2.0})
     assert grammar.features("Hello. You zog! Bye.")[0] > 0 == grammar.features("Hello. You zogs! Bye.")[0]
+    assert grammar.features("Hello. You zog idiot! Bye.")[0] > 0
+
+
+def clause_by_hand(words, levels):
+    """The sum over insults and threats of their weight and its shares, each no less than nothing."""
+    kind = {w: c for c, ws in toxicity.CLASSES.items() for w in ws.split()}
+    marks = [kind.get(w, "o") for w in words]
+    total = 0.0
+    for k, w in enumerate(words):
+        near = "y" in marks[max(0, k - toxicity.BEFORE) : k] or "y" in marks[k + 1 : k + 1 + toxicity.AFTER]
+        if marks[k] == "v":
+            wills = [j for j in range(max(0, k - toxicity.INTENT), k) if marks[j] == "w" and "v" not in marks[j + 1 : k]]
+            base = toxicity.THREAT if wills or near else 0
+        else:
+            base = levels.get(w, 0)
+        share = 1 + toxicity.TARGETED * near - toxicity.DENIED * ("n" in marks[max(0, k - toxicity.NEGATED) : k]) - toxicity.QUOTED * ("r" in marks[:k])
+        total += max(0.0, base * share)
+    return total
+
+
+def test_toxicity_grammar_against_sums_by_hand():
+    rng, levels = random.Random(11), {"blork": 6, "zog": 2}
+    grammar = toxicity.Grammar({f"{w}$": float(n) for w, n in levels.items()})
+    assert grammar.clause("you blork".split()) == grammar.clause("blork you".split()) == 9.0 > grammar.clause("they said you are a blork".split())
+    for _ in range(4000):
+        words_ = rng.choices(["blork", "zog", "kill", "will", "you", "not", "said", "a", "b"], k=rng.randint(0, 9))
+        assert abs(grammar.clause(words_) - clause_by_hand(words_, levels)) < 1e-9, words_
 
 
 def test_kneser_ney_sums_to_one():
