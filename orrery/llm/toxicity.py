@@ -88,7 +88,7 @@ def threats() -> Arcs:
     for left in range(INTENT + 1):
         arcs = {x: [(x, 0.0, max(0, left - 1))] for x in (*INSULTS, "y", "n", "r", "o")}
         arcs["w"] = [("o", 0.0, INTENT)]
-        arcs["v"] = [("t", float(THREAT), 0)] if left else [("v", 0.0, 0)]
+        arcs["v"] = [("t", float(THREAT), left - 1)] if left else [("v", 0.0, 0)]
         arcs[END] = [(END, 0.0, 0)]
         out[left] = arcs
     return out

@@ -194,8 +194,7 @@ def clause_by_hand(words, levels):
     for k, w in enumerate(words):
         near = "y" in marks[max(0, k - toxicity.BEFORE) : k] or "y" in marks[k + 1 : k + 1 + toxicity.AFTER]
         if marks[k] == "v":
-            wills = [j for j in range(max(0, k - toxicity.INTENT), k) if marks[j] == "w" and "v" not in marks[j + 1 : k]]
-            base = toxicity.THREAT if wills or near else 0
+            base = toxicity.THREAT if near or "w" in marks[max(0, k - toxicity.INTENT) : k] else 0
         else:
             base = levels.get(w, 0)
         share = 1 + toxicity.TARGETED * near - toxicity.DENIED * ("n" in marks[max(0, k - toxicity.NEGATED) : k]) - toxicity.QUOTED * ("r" in marks[:k])
