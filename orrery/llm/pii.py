@@ -1,15 +1,20 @@
 """Personal data by bootstrapped contextual extraction (operator 7), with DataFrame and SQL functions only.
 
-Base matches of four kinds are the seeds. Every word with a digit or an at sign is an instance, and its pattern is the word
-before it together with its shape. Patterns and instances form a bipartite graph that is scored in a few rounds: a pattern's
-confidence is the smoothed mean of its instances' scores, an instance's score the best confidence of its patterns, and seeds
-stay at one. Instances that patterns of high confidence and enough distinct seeds reach are added; base spans always stay.
+Base matches of four kinds are the seeds. An instance is a run of words with a digit or an at sign, and its anchor the last word
+of letters before it; anchor and class (with an at sign, five digits or more, fewer) make its lexical pattern. Patterns and
+instances form a bipartite graph that is scored in a few rounds. A pattern's confidence is the share of its anchor's occurrences
+in all texts that its instances' scores make up, so an everyday word before a number induces nothing; an instance's score is the
+best confidence of its patterns, and seeds stay at one. Instances that no base match covers and that patterns of high confidence,
+with enough distinct seeds of one kind, reach are added as that kind; base spans always stay.
 
 Offsets are code points, ends exclusive. A pattern's matches and the gaps between them come from one regular expression, so the
 offsets are sums of lengths.
 
 Defined results
     * null and empty texts have no spans; repeated rows give repeated results; a null doc_id is kept as it is
+    * a pattern with as many seeds of two kinds takes the kind listed first, if that one has the share asked for
+    * an instance without a word of letters before it, after the last instance, has no pattern
+    * where spans overlap `redact` replaces the earlier one and what the later has beyond it
     * an empty table gives an empty result; further columns are ignored by `find` and kept by `redact`
 """
 
@@ -29,7 +34,9 @@ PATTERNS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 }
 KINDS = tuple(PATTERNS)
-INSTANCE = r"(?:\G|(?<![^\x20\x09-\x0D]))[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_MARKED = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+INSTANCE = rf"(?:\G|(?<![^\x20\x09-\x0D])){_MARKED}(?:\x20{_MARKED})*+"
+LETTERS, LAST_LETTERS = r"\p{L}++", r"(?<!\p{L})(\p{L}++)[^\p{L}]*+$"
 
 
 def none() -> Column:
@@ -37,7 +44,7 @@ def none() -> Column:
 
 
 def no_instance() -> Column:
-    return F.expr("cast(array() as array<struct<start:int,end:int,word:string,before:string>>)")
+    return F.expr("cast(array() as array<struct<start:int,end:int,word:string,anchor:string>>)")
 
 
 def _digits(hit: Column) -> Column:
@@ -93,18 +100,19 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """array of (start, end, word, before) of the words with a digit or an at sign."""
+    """array of (start, end, word, anchor) of the runs of words with a digit or an at sign, marks at both ends left out."""
 
     def make(a: Column, b: Column, h: Column, g: Column) -> Column:
-        return F.struct(a.alias("start"), b.alias("end"), h.alias("word"), F.lower(F.element_at(F.split(F.rtrim(F.right(g, F.lit(200))), r"[\x20\x09-\x0D]+"), -1)).alias("before"))
+        lead, tail = (F.length(F.regexp_extract(h, p, 0)) for p in (r"^[^\p{L}\p{N}+(]*", r"[^\p{L}\p{N})]*$"))
+        word = F.substring(h, lead + 1, F.greatest(F.length(h) - lead - tail, F.lit(0)))
+        return F.struct((a + lead).alias("start"), F.greatest(b - tail, a + lead).alias("end"), word.alias("word"), F.lower(F.regexp_extract(g, LAST_LETTERS, 1)).alias("anchor"))
 
     return F.when(text.rlike("[0-9@]"), _located(text, INSTANCE, make, no_instance(), lambda h: F.lit(True))).otherwise(no_instance())
 
 
-def shape(word: Column) -> Column:
-    """Digits as 9, runs of letters as a, marks at the end dropped."""
-    bare = F.regexp_replace(word, r"[^\p{L}\p{N}]+$", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"[\p{L}]+", "a"), "[0-9]", "9")
+def word_class(word: Column) -> Column:
+    """With an at sign 2, with five digits or more 1, else 0."""
+    return F.when(F.contains(word, F.lit("@")), 2).otherwise((F.length(_digits(word)) >= 5).cast("int"))
 
 
 def written(spans: Column) -> Column:
@@ -118,33 +126,39 @@ def _base(docs: DataFrame) -> DataFrame:
     return materialise(rows.withColumn("row", F.monotonically_increasing_id()), "base")
 
 
-def discovered(base: DataFrame, rounds: int = 3, confidence: float = 0.95, least_seeds: int = 5) -> DataFrame:
+def occurrences(docs: DataFrame) -> DataFrame:
+    """anchor and n, how often each word of letters occurs in all texts."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(whole_text()), F.lit(LETTERS), F.lit(0))).alias("anchor"))
+    return words.groupBy("anchor").agg(F.count(F.lit(1)).alias("all"))
+
+
+def discovered(docs: DataFrame, base: DataFrame, rounds: int = 3, confidence: float = 0.6, least_seeds: int = 3, purity: float = 0.8) -> DataFrame:
     """row and the added spans of the rows that have any."""
     hit = F.filter("base", lambda s: (s["start"] < F.col("i.end")) & (F.col("i.start") < s["end"]))
-    inst = base.select("row", "base", F.explode("inst").alias("i"))
-    inst = inst.select("row", "i.start", "i.end", F.sha2("i.word", 256).alias("word"), F.sha2(F.concat_ws("\n", F.coalesce("i.before", F.lit("")), shape(F.col("i.word"))), 256).alias("pattern"), F.get(hit, F.lit(0))["kind"].alias("kind"))
-    inst = materialise(inst, "instances")
-    seed = F.max((F.col("kind").isNotNull()).cast("double"))
-    edges = materialise(inst.groupBy("pattern", "word").agg(seed.alias("seed"), F.max("kind").alias("kind")), "graph")
-    scores = edges.groupBy("word").agg(F.max("seed").alias("score"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = (
-            edges.join(scores, "word")
-            .groupBy("pattern")
-            .agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("p"), F.sum("seed").alias("seeds"), F.max("kind").alias("kind"))
-        )
-        patterns = materialise(patterns, "patterns")
-        best = edges.join(patterns.select("pattern", "p"), "pattern").groupBy("word").agg(F.max("seed").alias("s"), F.max("p").alias("p"))
-        scores = best.select("word", F.greatest("s", "p").alias("score"))
-    strong = patterns.filter((F.col("p") >= confidence) & (F.col("seeds") >= least_seeds) & F.col("kind").isNotNull())
-    added = inst.filter("kind IS NULL").drop("kind").join(strong.select("pattern", "kind"), "pattern")
+    inst = base.select("row", "base", F.explode("inst").alias("i")).filter("i.anchor <> '' AND i.word <> ''")
+    inst = inst.select("row", "i.start", "i.end", "i.anchor", F.sha2("i.word", 256).alias("word"), word_class(F.col("i.word")).alias("class"), F.get(hit, F.lit(0))["kind"].alias("kind"))
+    inst = materialise(inst.filter("class > 0"), "instances")
+    edges = inst.groupBy("anchor", "class", "word").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind"))
+    of = [F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(len(KINDS))]
+    known = edges.groupBy("anchor", "class").agg(*of, F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))).alias("met"))
+    counts, seeds = F.array(*[f"k{k}" for k in range(len(KINDS))]), sum(F.col(f"k{k}") for k in range(len(KINDS)))
+    known = known.filter((seeds >= least_seeds) & (F.array_max(counts) >= purity * seeds))
+    known = known.select("anchor", "class", "met", (F.array_position(counts, F.array_max(counts)) - 1).cast("int").alias("kind"))
+    # patterns that may qualify, with what their anchors' occurrences are shared out over
+    known = materialise(known.join(occurrences(docs), "anchor"), "patterns")
+    patterns = known.select("anchor", "class", (F.col("met") / (F.col("all") + 1)).alias("p"))
+    edges = materialise(edges.join(known.select("anchor", "class", "all"), ["anchor", "class"]), "graph")
+    for _ in range(rounds - 1):
+        scores = edges.join(patterns, ["anchor", "class"]).groupBy("word").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("p"))).alias("score"))
+        patterns = materialise(edges.join(scores, "word").groupBy("anchor", "class").agg((F.sum(F.col("n") * F.col("score")) / (F.first("all") + 1)).alias("p")), "confidence")
+    strong = patterns.filter(F.col("p") >= confidence).join(known.select("anchor", "class", "kind"), ["anchor", "class"])
+    added = inst.filter("kind IS NULL").drop("kind").join(strong, ["anchor", "class"])
     return added.groupBy("row").agg(F.collect_set(F.struct("start", "end", "kind")).alias("added"))
 
 
 def _all_spans(docs: DataFrame) -> DataFrame:
     base = _base(docs)
-    rows = base.drop("inst").join(discovered(base), "row", "left")
+    rows = base.drop("inst").join(discovered(docs, base), "row", "left")
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
     return rows.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("added", none())), order))
 
@@ -155,13 +169,14 @@ def find(docs: DataFrame) -> DataFrame:
     return _all_spans(docs).select("doc_id", *[of(k) for k in range(len(KINDS))], F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, broadcast_rows: int = 20_000) -> DataFrame:
-    """docs with every span of text replaced by its kind in angle brackets; n_chars follows where there is such a column."""
+def redact(docs: DataFrame, broadcast_spans: int = 50_000) -> DataFrame:
+    """docs with every span of text replaced by its kind in angle brackets; n_chars follows where there is such a column. Added
+    spans are broadcast where there are at most broadcast_spans of them."""
     text = whole_text()
     base = _base(docs)
-    more = base.select("row", "doc_id", "text_key").join(discovered(base), "row").select("doc_id", "text_key", "added").dropDuplicates(["doc_id", "text_key"])
+    more = base.select("row", "doc_id", "text_key").join(discovered(docs, base), "row").select("doc_id", "text_key", "added").dropDuplicates(["doc_id", "text_key"])
     more = materialise(more, "added")
-    few = more.limit(broadcast_rows + 1).count() <= broadcast_rows
+    few = (more.agg(F.sum(F.size("added") + 1)).first()[0] or 0) <= broadcast_spans
     more = more.select(F.col("doc_id").alias("add_id"), F.col("text_key").alias("add_key"), "added")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("whole"))
     rows = rows.join(F.broadcast(more) if few else more, F.col("doc.doc_id").eqNullSafe(F.col("add_id")) & (F.xxhash64("whole") == F.col("add_key")), "left")
