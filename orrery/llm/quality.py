@@ -1,169 +1,298 @@
-"""Quality by an interpolated modified Kneser-Ney n-gram model (operator 2).
+"""Quality by an interpolated modified Kneser-Ney n-gram model of word pieces (operator 2).
 
-Trusted text is that of documents whose label says quality 1. Characters are folded to 48 classes, so the model of order 4 of a
-language has at most 48**4 entries whatever the corpus: 21 MB. Counts of four-grams of all trusted texts are gathered by
-language in shards of the gram, and the discounts, continuation counts and back-off weights follow from them. Models are sent
-to executors `languages` at a time, in as many passes as the languages need, so what is sent at once has a fixed bound.
+Trusted text is that of documents whose label says quality 1. Texts are cut into the word pieces of a public vocabulary, once; a
+table holds the pieces in blocks of documents. Counts of the n-grams of trusted documents, by language, are gathered in shards of
+the n-gram; continuation counts, discounts, back-off weights and interpolated probabilities follow as joins of those tables.
 
-A document's perplexity is compared with the `quantile` of the trusted documents of its language.
+Documents meet the model by n-gram: a block asks each shard for the probabilities of its distinct n-grams, packed in one row, a
+shard answers from its part of the model, and the answers come back to their block, where they are summed over its documents. No
+table of n-grams is ever in one place, and what a task holds is one block or one shard, whose number grows with the corpus.
+
+A fifth of the trusted documents, by a hash of doc_id, is not counted: a language's threshold is the `quantile` of the perplexity
+of those, as text that was counted looks better than any other.
 
 Defined results
-    * null and empty texts have a null perplexity and are not kept; repeated rows get equal results
-    * a null language is a language of its own; one without trusted text uses the model and threshold of all trusted text, and
-      without any trusted text every non-empty document is kept
-    * further columns are ignored
+    * null and empty texts, and texts without any piece, have a null perplexity and are not kept; repeated rows get equal results
+    * a null language is a language of its own; one without counted trusted text uses the model of all trusted text and the
+      threshold of all of it, and without any trusted text every document with a piece is kept
+    * a language whose trusted documents were all counted, or of which none was, takes its threshold from all of its own
+    * a doc_id is trusted if any of its labels says so; a null doc_id is never; further columns are ignored
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import texts_by_slice
+from .common import materialise
+from .tokens import texts_by_slice, tokenizer_path, word_bpe
 
-SIZE, ORDER = 48, 4
-START = 47
+VOCABULARY, START, PIECE_BITS = 49408, 65535, 16
+ORDER = 2
+#: The language keys of the model of all trusted text and of a null language.
+POOLED, UNKNOWN = "\1", "\2"
+BLOCKS = "block long, doc_ids array<long>, langs array<string>, maybe array<boolean>, sizes array<int>, ids binary"
 
 
-def _classes() -> np.ndarray:
-    """Class of each code point up to FFFF: small letters, large ones and accents by groups, digits, gaps, and marks by groups."""
-    cp = np.arange(1 << 16)
-    out = np.full(1 << 16, 46, np.uint8)
-    out[cp > 127] = (30 + cp % 6)[cp > 127]
-    out[:128] = (41 + cp % 5)[:128]
-    out[97:123] = np.arange(26)
-    out[65:91] = 26 + np.arange(26) % 4
-    out[48:58] = 36
-    out[[32, 9, 10, 13, 46, 44]] = [37, 37, 38, 38, 39, 40]
-    return out
+def _key(lang: Column) -> Column:
+    return F.coalesce(lang, F.lit(UNKNOWN))
+
 
+def trusted(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
-CLASSES = _classes()
 
+def counted(doc_id: Column) -> Column:
+    """Whether a trusted document is one that the model learns from."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(2)), F.lit(5)) != 0
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Four-gram codes of all texts, each begun by a start mark three times, and where each text's begin."""
-    joined = "".join("\0\0\0" + t for t in texts)
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = CLASSES[np.minimum(cp, 0xFFFF)].astype(np.int32)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    begin = np.cumsum(sizes + 3) - (sizes + 3)
-    for k in range(3):
-        cls[begin + k] = START
-    code = ((cls[:-3] * SIZE + cls[1:-2]) * SIZE + cls[2:-1]) * SIZE + cls[3:]
-    keep = np.ones(len(cls), bool)
-    for k in range(3):
-        keep[begin + k] = False
-    return code[keep[3:]], np.append(0, np.cumsum(sizes))
 
+def flagged(docs: DataFrame, ids: DataFrame, bits: int = 25) -> DataFrame:
+    """docs with `maybe`: false only where doc_id is not among ids. The sketch of 2**bits bits is a table of at most 2**bits / 8 bytes
+    whatever the number of ids, so it is broadcast; where it fills up it says true more often, and a join settles what is so."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    parts = ids.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    rows = docs.withColumn("bit", F.bitmap_bit_position(place)).withColumn("part", F.bitmap_bucket_number(place))
+    rows = rows.join(F.broadcast(parts), "part", "left")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("maybe", F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))).drop("part", "bit", "bitmap")
 
-def count(docs: DataFrame) -> DataFrame:
-    """lang, gram, n over all rows of docs(lang, text)."""
+
+def tokenised(docs: DataFrame, path: str | None = None, block_bytes: int = 2_000_000) -> DataFrame:
+    """Documents (doc_id, lang, text, maybe) as blocks of pieces."""
+    path = path or tokenizer_path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, np.ndarray] = {}
-        for batch in texts_by_slice(batches):
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            for lang in set(langs):
-                own = [t for t, x in zip(texts, langs, strict=True) if x == lang and t]
-                if own:
-                    code, _ = grams(own)
-                    if lang not in held and len(held) >= 8:
-                        yield from emit(held)
-                        held = {}
-                    held.setdefault(lang, np.zeros(SIZE**ORDER, np.int32))
-                    held[lang] += np.bincount(code, minlength=SIZE**ORDER).astype(np.int32)
-        yield from emit(held)
-
-    def emit(held: dict) -> Iterator[pa.RecordBatch]:
-        for lang, n in held.items():
-            there = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int64()), pa.array(n[there], pa.int64())], names=["lang", "gram", "n"])
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities of the last class after the three before it, for all four-grams, seen or not."""
-    levels = [counts.reshape((SIZE,) * ORDER)]
-    for _ in range(ORDER - 1):
-        levels.append((levels[-1] > 0).sum(axis=0))  # continuation counts: distinct classes before
-    p = np.full(SIZE, 1.0 / SIZE)
-    for c in reversed(levels):
-        n = [max(1, int((c == k).sum())) for k in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
-        off = np.where(c == 0, 0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
-        total = c.sum(axis=-1, keepdims=True)
-        left = off.sum(axis=-1, keepdims=True)
-        p = np.where(total > 0, (c - off + left * p) / np.maximum(total, 1), np.broadcast_to(p, c.shape))
-    return np.log(p).reshape(-1).astype(np.float32)
+        from pyspark import TaskContext
 
+        encoder, block = word_bpe(path, "library"), TaskContext.get().partitionId() << 32
+        for batch in texts_by_slice(batches, block_bytes):
+            ids, at = encoder.encode(batch.column("text"))
+            row = [pa.array([block])] + [pa.array([batch.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("maybe", pa.bool_()))]
+            row += [pa.array([np.diff(at).tolist()], pa.list_(pa.int32())), pa.array([ids.astype("<u2").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "langs", "maybe", "sizes", "ids"])
+            block += 1
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str | None]]:
-    """Counts (lang, gram, n) of trusted text, and its languages, those with most text first."""
-    trusted = labels.filter("quality = 1").select("doc_id").distinct()
-    table = count(docs.join(trusted.hint("merge"), "doc_id", "left_semi"))  # the same plan whatever the number of labels
-    from .common import materialise
+    return docs.select("doc_id", F.col("lang"), "text", "maybe").mapInArrow(run, BLOCKS)
 
-    table = materialise(table, "counts")
-    return table, [r["lang"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
 
+def codes(ids: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
+    """For each piece the code of the n-gram that ends in it: 16 bits a piece, START before a document's first."""
+    pad = order - 1
+    held = np.full(len(ids) + pad * len(sizes), START, np.int64)
+    where = np.arange(len(ids)) + np.repeat(pad * np.arange(1, len(sizes) + 1), sizes)
+    held[where] = ids
+    code = np.zeros(len(ids), np.int64)
+    for k in range(order):
+        code = code << PIECE_BITS | held[where - pad + k]
+    return code
 
-def _model(rows: DataFrame) -> np.ndarray:
-    rows = rows.groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    c = np.zeros(SIZE**ORDER)
-    c[rows["gram"].to_numpy()] = rows["n"].to_numpy()
-    return kneser_ney(c)
 
+def count(pieces: DataFrame, order: int) -> DataFrame:
+    """lang, code, n over all rows of pieces(lang, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            for lang in sorted(set(langs)):
+                own = [np.frombuffer(b, "<u2") for b, x in zip(batch.column("ids").to_pylist(), langs, strict=True) if x == lang]
+                code, n = np.unique(codes(np.concatenate(own).astype(np.int64), np.array([len(x) for x in own]), order), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
+
+    return pieces.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
-def perplexity(docs: DataFrame, models: dict[str | None, np.ndarray], further: np.ndarray | None = None) -> DataFrame:
-    """doc_id, lang and perplexity of every row, null without a model; `further` is that of languages that models lacks."""
-    sent = docs.sparkSession.sparkContext.broadcast((models, further))
+
+def learned(blocks: DataFrame, ids: DataFrame, order: int) -> DataFrame:
+    """Counts by language, and of all languages together, over the counted trusted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, rest = sent.value
-        for batch in texts_by_slice(batches):
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            out = np.full(len(texts), np.nan)
-            for lang in set(langs):
-                own = [i for i, x in enumerate(langs) if x == lang and texts[i]]
-                table = tables.get(lang, rest)
-                if own and table is not None:
-                    code, at = grams([texts[i] for i in own])
-                    out[own] = np.exp(-np.add.reduceat(table[code].astype(np.float64), at[:-1]) / np.diff(at))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(out, pa.float64(), mask=np.isnan(out))], names=["doc_id", "lang", "perplexity"])
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, perplexity double")
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, languages: int = 7) -> DataFrame:
+        for batch in batches:
+            for r in batch.to_pylist():
+                flat, at = memoryview(r["ids"]), np.append(0, np.cumsum(r["sizes"])) * 2
+                own = [(r["doc_ids"][k], r["langs"][k], bytes(flat[at[k] : at[k + 1]])) for k, m in enumerate(r["maybe"]) if m and r["sizes"][k]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "ids"])
+
+    some = blocks.mapInArrow(run, "doc_id long, lang string, ids binary").filter(counted(F.col("doc_id")))
+    some = some.join(ids.hint("merge"), "doc_id", "left_semi")  # the same plan whatever the number of labels
+    own = materialise(count(some.select(_key(F.col("lang")).alias("lang"), "ids"), order), "counts")
+    return own.unionByName(own.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n"))
+
+
+def model(counts: DataFrame, order: int) -> DataFrame:
+    """lang, code (order << 48 | pieces), p and back: the interpolated probability of the last piece after those before it, and the
+    weight that a context leaves to the shorter one. Order 0 holds the probability of a piece never counted."""
+    low = lambda k: F.col("code").bitwiseAND(F.lit((1 << PIECE_BITS * k) - 1))
+    before = F.shiftright("code", PIECE_BITS)
+    levels = {order: counts}
+    for k in range(order - 1, 0, -1):  # continuation counts: distinct pieces before
+        levels[k] = materialise(levels[k + 1].groupBy("lang", low(k).alias("code")).agg(F.count(F.lit(1)).alias("n")), f"level{k}")
+    less, contexts = {}, {}
+    for k in range(1, order + 1):
+        n = [F.greatest(F.count_if(F.col("n") == j), F.lit(1)).cast("double") for j in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = levels[k].groupBy("lang").agg(*[F.least(F.greatest(j - (j + 1) * y * n[j] / n[j - 1], F.lit(0.05)), F.lit(j - 0.05)).alias(f"d{j}") for j in (1, 2, 3)])
+        off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        less[k] = levels[k].join(d, "lang").select("lang", "code", "n", off.alias("off"), before.alias("context"))
+        contexts[k] = materialise(less[k].groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("off") / F.sum("n")).alias("back")), f"contexts{k}")
+    out, shorter = None, None
+    for k in range(1, order + 1):
+        rows = less[k].join(contexts[k], ["lang", "context"])
+        own = (F.col("n") - F.col("off")) / F.col("total")
+        if shorter is None:
+            rows = rows.select("lang", "code", (own + F.col("back") / VOCABULARY).alias("p"))
+        else:
+            rows = rows.withColumn("low", low(k - 1)).join(shorter.select("lang", F.col("code").alias("low"), F.col("p").alias("q")), ["lang", "low"])
+            rows = rows.select("lang", "code", (own + F.col("back") * F.col("q")).alias("p"))
+        shorter = materialise(rows, f"p{k}")
+        found = shorter
+        if k < order:
+            found = found.join(contexts[k + 1].select("lang", F.col("context").alias("code"), "back"), ["lang", "code"], "full")
+        else:
+            found = found.withColumn("back", F.lit(None).cast("double"))
+        found = found.select("lang", (F.lit(k << 48) + F.col("code")).alias("code"), "p", "back")
+        out = found if out is None else out.unionByName(found)
+    floor = contexts[1].select("lang", F.lit(0).cast("long").alias("code"), (F.col("back") / VOCABULARY).alias("p"), F.lit(None).cast("double").alias("back"))
+    return out.unionByName(floor)
+
+
+def wanted(row: dict, order: int, pooled: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each language of a block, and for all together: its key, its documents, their pieces, and the sorted codes to ask for."""
+    ids, sizes = np.frombuffer(row["ids"], "<u2").astype(np.int64), np.array(row["sizes"], np.int64)
+    langs = np.array([UNKNOWN if x is None else x for x in row["langs"]], dtype=object)
+    for lang in [*sorted(set(langs)), *([POOLED] if pooled else [])]:
+        docs = np.flatnonzero(sizes > 0 if lang == POOLED else (langs == lang) & (sizes > 0))
+        if not len(docs):
+            continue
+        own = ids[np.repeat((langs == lang) | (lang == POOLED), sizes)]
+        ask = [np.zeros(1, np.int64)]
+        whole = codes(own, sizes[docs], order)
+        for k in range(1, order + 1):
+            ask.append(np.unique(whole & ((1 << PIECE_BITS * k) - 1)) | k << 48)
+            if k < order:  # contexts are asked for too: those that begin a document never end an n-gram
+                ask.append(np.unique(whole >> PIECE_BITS & ((1 << PIECE_BITS * k) - 1)) | k << 48)
+        yield lang, docs, own, np.unique(np.concatenate(ask))
+
+
+def planes(codes_: np.ndarray) -> bytes:
+    """Numbers byte by byte: sorted ones share their high bytes, which then compress."""
+    return np.ascontiguousarray(codes_.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
+    return code % 1_000_003 % shards
+
+
+def asked(blocks: DataFrame, order: int, shards: int, pooled: bool) -> DataFrame:
+    """shard, block, lang and packed codes; at most one row a code."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                out: list[tuple] = []
+                for lang, _, _, ask in wanted(row, order, pooled):
+                    shard = shard_of(ask, shards)
+                    by = np.argsort(shard, kind="stable")
+                    there, first = np.unique(shard[by], return_index=True)
+                    out += [(s, row["block"], lang, planes(own)) for s, own in zip(there.tolist(), np.split(ask[by], first[1:]), strict=True)]
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["shard", "block", "lang", "codes"])
+
+    return blocks.mapInArrow(run, "shard long, block long, lang string, codes binary")
+
+
+def answered(requests: DataFrame, known: DataFrame, shards: int) -> DataFrame:
+    """block, shard, lang and, for the codes asked for in their order, p and back as 32-bit numbers, NaN where there is none."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        langs = np.array(right.column("lang").to_pylist(), dtype=object)
+        code, p, back = (right.column(c).to_numpy() for c in ("code", "p", "back"))
+        tables = {}
+        for lang in set(langs):
+            own = np.flatnonzero(langs == lang)
+            own = own[np.argsort(code[own])]
+            tables[lang] = code[own], p[own].astype("<f4"), back[own].astype("<f4")
+        out: list[tuple] = []
+        for r in left.to_pylist():
+            ask = unplanes(r["codes"])
+            values = np.full((2, len(ask)), np.nan, "<f4")
+            if r["lang"] in tables:
+                have, *held = tables[r["lang"]]
+                at = np.minimum(np.searchsorted(have, ask), len(have) - 1)
+                hit = have[at] == ask
+                for k in (0, 1):
+                    values[k, hit] = held[k][at[hit]]
+            out.append((r["block"], r["shard"], r["lang"], values[0].tobytes(), values[1].tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["block", "shard", "lang", "p", "back"])
+
+    known = known.withColumn("shard", F.col("code") % 1_000_003 % shards)
+    return requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, "block long, shard long, lang string, p binary, back binary")
+
+
+def log_probabilities(own: np.ndarray, sizes: np.ndarray, ask: np.ndarray, p: np.ndarray, back: np.ndarray, order: int) -> np.ndarray:
+    """Of each piece, backing off from what was not found; a context that was never counted leaves all to the shorter one."""
+    whole = codes(own, sizes, order)
+    out = np.full(len(own), np.log(p[0]), np.float64)
+    for k in range(1, order + 1):
+        at = np.searchsorted(ask, whole & ((1 << PIECE_BITS * k) - 1) | k << 48)
+        if k > 1:
+            context = np.searchsorted(ask, whole >> PIECE_BITS & ((1 << PIECE_BITS * (k - 1)) - 1) | (k - 1) << 48)
+            out += np.where(np.isnan(back[context]), 0.0, np.log(back[context].astype(np.float64)))
+        out = np.where(np.isnan(p[at]), out, np.log(p[at].astype(np.float64)))
+    return out
+
+
+def perplexities(blocks: DataFrame, answers: DataFrame, order: int, shards: int, pooled: bool) -> DataFrame:
+    """doc_id, lang, perplexity and maybe of every document."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        got: dict[str, list] = {}
+        for r in right.to_pylist():
+            got.setdefault(r["lang"], []).append(r)
+        sizes, out = np.array(row["sizes"], np.int64), np.full(len(row["sizes"]), np.nan)
+        for lang, docs, own, ask in wanted(row, order, pooled):
+            p, back, shard = np.full(len(ask), np.nan, "<f4"), np.full(len(ask), np.nan, "<f4"), shard_of(ask, shards)
+            for r in got.get(lang, []):
+                p[shard == r["shard"]], back[shard == r["shard"]] = np.frombuffer(r["p"], "<f4"), np.frombuffer(r["back"], "<f4")
+            if np.isnan(p[0]):  # no model of this language
+                continue
+            logs = log_probabilities(own, sizes[docs], ask, p, back, order)
+            value = np.exp(-np.add.reduceat(logs, np.cumsum(sizes[docs]) - sizes[docs]) / sizes[docs])
+            out[docs] = np.where(np.isnan(out[docs]), value, out[docs])
+        columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(out, mask=np.isnan(out)), pa.array(sizes > 0), pa.array(row["maybe"], pa.bool_())]
+        return pa.table(columns, names=["doc_id", "lang", "perplexity", "filled", "maybe"])
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, lang string, perplexity double, filled boolean, maybe boolean")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, order: int = ORDER, shard_pieces: int = 4_000_000) -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept of every row."""
-    from .common import materialise
-
-    table, known_langs = train(docs, labels)
-    key = F.coalesce("lang", F.lit("\0"))
-    names = ["\0" if x is None else x for x in known_langs]
-    parts = []
-    for start in range(0, len(names), languages):
-        own = names[start : start + languages]
-        models = {known_langs[start + i]: _model(table.filter(key == x)) for i, x in enumerate(own)}
-        parts.append(materialise(perplexity(docs.filter(key.isin(own)), models), "perplexity").withColumn("key", key))
-    rest = docs.filter(~key.isin(names)) if names else docs
-    further = _model(table) if names else None
-    parts.append(materialise(perplexity(rest, {}, further), "perplexity").withColumn("key", F.lit(None).cast("string")))
-    rows = reduce(DataFrame.unionByName, parts)
-    trusted = labels.filter("quality = 1").select("doc_id").distinct()
-    known = rows.join(trusted, "doc_id", "left_semi")
-    limits = known.groupBy("key").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
-    whole = known.agg(F.percentile_approx("perplexity", quantile, 10000).alias("whole"))
-    # limits has a row for each language, whole has one
-    out = rows.join(F.broadcast(limits), "key", "left").join(F.broadcast(whole), F.lit(True), "left")
+    ids = trusted(labels)
+    blocks = materialise(tokenised(flagged(docs.select("doc_id", "lang", "text"), ids)), "blocks")
+    pieces = blocks.agg(F.sum(F.octet_length("ids") / 2)).first()[0] or 0
+    shards = max(1, int(-(-pieces // shard_pieces)))
+    counts = materialise(learned(blocks, ids, order), "all-counts")
+    known = blocks.select(F.explode(F.array_distinct("langs")).alias("lang")).select(_key(F.col("lang")).alias("lang")).distinct()
+    pooled = bool(known.join(counts.select("lang").distinct(), "lang", "left_anti").limit(1).count())
+    table = model(counts if pooled else counts.filter(F.col("lang") != POOLED), order)
+    answers = answered(asked(blocks, order, shards, pooled), table, shards)
+    rows = materialise(perplexities(blocks, answers, order, shards, pooled).withColumn("key", _key(F.col("lang"))), "perplexity")
+    sure = rows.filter("maybe AND perplexity IS NOT NULL").join(ids, "doc_id", "left_semi").withColumn("fresh", ~counted(F.col("doc_id")))
+    limit = lambda which: F.percentile_approx(F.when(which, F.col("perplexity")), quantile, 10000)
+    own = F.coalesce(limit(F.col("fresh")), limit(F.lit(True)))
+    # a row for each language
+    limits = sure.groupBy("key").agg(own.alias("own"))
+    whole = sure.agg(own.alias("whole"))
+    out = rows.join(limits, "key", "left").join(F.broadcast(whole), F.lit(True), "left")  # whole has one row
     out = out.withColumn("threshold", F.coalesce("own", "whole"))
-    kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
+    kept = F.col("filled") & (F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return out.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
