@@ -69,9 +69,9 @@ def resolve(e: Estate, asked: str = "cr:datacontainer:p7") -> DataFrame:
 )
 def blast_downstream(e: Estate) -> DataFrame:
     """Consumers of every resource over dependency relations, lifted to their services."""
-    c = e.access().filter(F.col("rel").isin("READS", "LISTENS_TO", "MAPS_TO")).join(e.services(), F.col("service") == F.col("id"))
-    out = c.groupBy("resource").agg(F.countDistinct("id").alias("services"), F.countDistinct("team").alias("teams"))
-    return out.withColumn("cross_team", F.col("teams") > 1)
+    c = e.use("READS", "LISTENS_TO", "MAPS_TO").groupBy("x", "s").agg(n().alias("k")).join(e.teams(), "s")
+    out = c.groupBy("x", "team").agg(n().alias("k")).groupBy("x").agg(F.sum("k").alias("services"), n().alias("teams"))
+    return out.select(estate.resource_urn(F.col("x")).alias("resource"), "services", "teams", (F.col("teams") > 1).alias("cross_team"))
 
 
 @query(
@@ -80,7 +80,9 @@ def blast_downstream(e: Estate) -> DataFrame:
     WHERE rel IN ('WRITES', 'PUBLISHES_TO') GROUP BY resource""",
 )
 def blast_upstream(e: Estate) -> DataFrame:
-    return e.access().filter(F.col("rel").isin("WRITES", "PUBLISHES_TO")).groupBy("resource").agg(F.countDistinct("service").alias("producers"), F.sum("n").alias("writes"))
+    """Of each resource; a producer either writes or publishes, so its rows are counted."""
+    out = e.use("WRITES", "PUBLISHES_TO").groupBy("x").agg(n().alias("producers"), F.sum("n").alias("writes"))
+    return out.select(estate.resource_urn(F.col("x")).alias("resource"), "producers", "writes")
 
 
 @query(
@@ -96,7 +98,7 @@ def owner_cascade(e: Estate) -> DataFrame:
 
 @query("d5_orphan_services", "SELECT id, name FROM service WHERE id NOT IN (SELECT service FROM access)")
 def orphan_services(e: Estate) -> DataFrame:
-    return e.services().join(e.access().select("service").distinct(), F.col("id") == F.col("service"), "left_anti").select("id", "name")
+    return e.services().join(e.use().select("s").distinct().select(estate.service_urn(F.col("s")).alias("service")), F.col("id") == F.col("service"), "left_anti").select("id", "name")
 
 
 @query("d6_read_containers", "SELECT DISTINCT dst AS resource FROM edge WHERE rel = 'WRITES' AND dst IN (SELECT dst FROM edge WHERE rel = 'READS' AND live)")
@@ -126,9 +128,11 @@ def container_weld(e: Estate) -> DataFrame:
     WHERE a.resource IN (SELECT resource FROM k) GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def shared_resources(e: Estate) -> DataFrame:
-    w = e.access().filter(F.col("rel").isin("READS", "WRITES")).select("service", "resource").distinct()
-    a, b = w.withColumnRenamed("service", "a"), w.withColumnRenamed("service", "b")
-    return a.join(b, "resource").filter("a < b").groupBy("a", "b").agg(n().alias("shared")).filter("shared >= 2")
+    w = e.use("READS", "WRITES").select("s", "x").distinct()
+    a, b = w.withColumnRenamed("s", "a"), w.withColumnRenamed("s", "b")
+    pairs = a.join(b, "x").filter("a < b").groupBy("a", "b").agg(n().alias("shared")).filter("shared >= 2")
+    first, second = estate.service_urn(F.col("a")), estate.service_urn(F.col("b"))
+    return pairs.select(F.least(first, second).alias("a"), F.greatest(first, second).alias("b"), "shared")
 
 
 @query(
@@ -141,10 +145,11 @@ def shared_resources(e: Estate) -> DataFrame:
 )
 def data_gravity(e: Estate) -> DataFrame:
     """Distinct services and teams, writes and reads of each resource that several services use, with its single-point score."""
-    a = e.access().join(e.services(), F.col("service") == F.col("id"))
-    of = lambda *rels: F.sum(F.when(F.col("rel").isin(*rels), F.col("n")).otherwise(0))
-    g = a.groupBy("resource").agg(F.countDistinct("service").alias("services"), F.countDistinct("team").alias("teams"), of("WRITES", "PUBLISHES_TO").alias("writes"), of("READS", "LISTENS_TO").alias("reads"))
-    return g.filter("services > 1").withColumn("spof", G.spof_score(F.col("services"), F.col("teams"), F.col("writes"), F.col("reads")))
+    of = lambda *rels: F.sum(F.when(F.col("rel").isin(*[estate.RELS.index(r) for r in rels]), F.col("n")).otherwise(0))
+    per = e.use().groupBy("x", "s").agg(of("WRITES", "PUBLISHES_TO").alias("writes"), of("READS", "LISTENS_TO").alias("reads")).join(e.teams(), "s")
+    per = per.groupBy("x", "team").agg(n().alias("services"), F.sum("writes").alias("writes"), F.sum("reads").alias("reads"))
+    g = per.groupBy("x").agg(F.sum("services").alias("services"), n().alias("teams"), F.sum("writes").alias("writes"), F.sum("reads").alias("reads")).filter("services > 1")
+    return g.select(estate.resource_urn(F.col("x")).alias("resource"), "services", "teams", "writes", "reads", G.spof_score(F.col("services"), F.col("teams"), F.col("writes"), F.col("reads")).alias("spof"))
 
 
 @query(
@@ -155,11 +160,12 @@ def data_gravity(e: Estate) -> DataFrame:
     SELECT d.service, count(*) AS dependents, count(DISTINCT team) AS teams FROM d JOIN service s ON dependent = s.id GROUP BY d.service""",
 )
 def bottlenecks(e: Estate) -> DataFrame:
-    a = e.access()
-    w = a.filter(F.col("rel").isin("WRITES", "PUBLISHES_TO")).select("service", "resource").distinct()
-    r = a.filter(F.col("rel").isin("READS", "LISTENS_TO")).select(F.col("service").alias("dependent"), "resource").distinct()
-    d = w.join(r, "resource").filter("service <> dependent").select("service", "dependent").distinct()
-    return d.join(e.services(), F.col("dependent") == F.col("id")).groupBy("service").agg(n().alias("dependents"), F.countDistinct("team").alias("teams"))
+    w = e.use("WRITES", "PUBLISHES_TO").select("s", "x")
+    r = e.use("READS", "LISTENS_TO").select(F.col("s").alias("dependent"), "x")
+    d = w.join(r, "x").filter("s <> dependent").select("s", "dependent").distinct()
+    teams = e.teams().select(F.col("s").alias("dependent"), "team")
+    out = d.join(teams, "dependent").groupBy("s", "team").agg(n().alias("k")).groupBy("s").agg(F.sum("k").alias("dependents"), n().alias("teams"))
+    return out.select(estate.service_urn(F.col("s")).alias("service"), "dependents", "teams")
 
 
 @query(
@@ -168,9 +174,15 @@ def bottlenecks(e: Estate) -> DataFrame:
     SELECT id, degree, round(1 + log10(greatest(1, degree)), 6) AS weight FROM d""",
 )
 def degree(e: Estate) -> DataFrame:
-    a = e.access()
-    d = a.select(F.col("service").alias("id")).unionByName(a.select(F.col("resource").alias("id"))).groupBy("id").agg(n().alias("degree"))
-    return d.withColumn("weight", F.round(1 + F.log10(F.greatest(F.lit(1), F.col("degree")).cast("double")), 6))
+    d = _degrees(e)
+    name = F.when(F.col("kind") == 0, estate.service_urn(F.col("id"))).otherwise(estate.resource_urn(F.col("id")))
+    return d.select(name.alias("id"), "degree", F.round(1 + F.log10(F.greatest(F.lit(1), F.col("degree")).cast("double")), 6).alias("weight"))
+
+
+def _degrees(e: Estate) -> DataFrame:
+    """kind (0: service, 1: resource), id and degree; both ends of an edge are counted from one pass."""
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("s").alias("id")), F.struct(F.lit(1).alias("kind"), F.col("x").alias("id"))))
+    return e.use().select(ends.alias("end")).groupBy("end.kind", "end.id").agg(n().alias("degree"))
 
 
 @query(
@@ -186,15 +198,16 @@ def degree(e: Estate) -> DataFrame:
 )
 def gravity_score(e: Estate) -> DataFrame:
     """Two hops downstream through resources; the first hit of a node decides its coefficient."""
-    a = e.access()
-    one = a.filter(F.col("rel").isin("WRITES", "PUBLISHES_TO")).select(F.col("service").alias("src"), F.col("resource").alias("dst")).distinct()
-    back = a.filter(F.col("rel").isin("READS", "LISTENS_TO", "MAPS_TO")).select(F.col("resource").alias("via"), F.col("service").alias("end")).distinct()
-    two = one.join(back, F.col("dst") == F.col("via")).filter("src <> end").select("src", F.col("end").alias("dst")).distinct()
-    hops = one.withColumn("h", F.lit(1)).unionByName(two.withColumn("h", F.lit(2))).groupBy("src", "dst").agg(F.min("h").alias("h"))
-    d = degree(e).select(F.col("id").alias("dst"), "degree")
-    coef = F.when(F.col("h") == 1, 2.0).otherwise(1.5)
-    g = hops.join(d, "dst").groupBy(F.col("src").alias("service")).agg(F.round(F.sum(coef * (1 + F.log10(F.col("degree").cast("double")))), 4).alias("score"), n().alias("reached"))
-    return g.withColumn("tier", G.tier(F.col("score")))
+    one = e.use("WRITES", "PUBLISHES_TO").select("s", "x")
+    back = e.use("READS", "LISTENS_TO", "MAPS_TO").select(F.col("s").alias("end"), "x").distinct()
+    d = _degrees(e)
+    weigh = lambda coef: coef * (1 + F.log10(F.col("degree").cast("double")))
+    # services and resources are different nodes, so no pair is met both directly and through a resource
+    direct = one.join(d.filter("kind = 1").select(F.col("id").alias("x"), "degree"), "x").groupBy("s").agg(F.sum(weigh(2.0)).alias("score"), n().alias("reached"))
+    two = one.join(back, "x").filter("s <> end").select("s", "end").distinct()
+    two = two.join(d.filter("kind = 0").select(F.col("id").alias("end"), "degree"), "end").groupBy("s").agg(F.sum(weigh(1.5)).alias("score"), n().alias("reached"))
+    g = direct.unionByName(two).groupBy("s").agg(F.round(F.sum("score"), 4).alias("score"), F.sum("reached").alias("reached"))
+    return g.select(estate.service_urn(F.col("s")).alias("service"), "score", "reached", G.tier(F.col("score")).alias("tier"))
 
 
 @query(
@@ -209,11 +222,12 @@ def gravity_score(e: Estate) -> DataFrame:
 )
 def drift(e: Estate) -> DataFrame:
     """Declared against observed dependencies of each service: aligned, missing, undeclared, and a score."""
-    part = e.table("part").select(estate.urn("datacontainer", F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("resource"), F.col("p_brand").alias("dep"))
-    a = e.access().join(part, "resource")
-    per = a.groupBy("service", "dep").agg(F.max(F.col("rel") == "MAPS_TO").alias("d"), F.max(F.col("rel").isin("READS", "WRITES")).alias("s"))
-    out = per.groupBy("service").agg(F.count_if(F.col("d") & F.col("s")).alias("aligned"), F.count_if(F.col("d") & ~F.col("s")).alias("missing"), F.count_if(F.col("s") & ~F.col("d")).alias("undeclared"), F.count_if(F.col("d") != F.col("s")).alias("off"), n().alias("all"))
-    return out.withColumn("score", F.floor((1 - F.col("off") / F.col("all")) * 100 + 0.5).cast("long")).drop("off", "all")
+    part = e.table("part").select(estate.number(F.col("p_partkey"), 0).alias("x"), F.col("p_brand").alias("dep"))
+    a = e.use("READS", "WRITES", "MAPS_TO").join(part, "x")
+    per = a.groupBy("s", "dep").agg(F.max(F.col("rel") == 2).alias("d"), F.max(F.col("rel") < 2).alias("o"))
+    out = per.groupBy("s").agg(F.count_if(F.col("d") & F.col("o")).alias("aligned"), F.count_if(F.col("d") & ~F.col("o")).alias("missing"), F.count_if(F.col("o") & ~F.col("d")).alias("undeclared"), F.count_if(F.col("d") != F.col("o")).alias("off"), n().alias("all"))
+    score = F.floor((1 - F.col("off") / F.col("all")) * 100 + 0.5).cast("long")
+    return out.select(estate.service_urn(F.col("s")).alias("service"), "aligned", "missing", "undeclared", score.alias("score"))
 
 
 @query(
@@ -305,6 +319,7 @@ def exact_duplicates(e: Estate) -> DataFrame:
     ctes=False,
 )
 def merkle_root(e: Estate) -> DataFrame:
+    """The root needs all hashes of a repository in order: an array of 16 bytes a file, so a repository may have some millions."""
     h = e.table("supplier").select("s_nationkey", S.content_hash(F.col("s_name")).alias("h"))
     return h.groupBy(F.col("s_nationkey").alias("repo")).agg(S.content_hash(F.array_join(F.array_sort(F.collect_list("h")), ":")).alias("root"))
 
@@ -415,10 +430,12 @@ def top_k(e: Estate) -> DataFrame:
     h2 AS (SELECT DISTINCT dst AS id FROM u WHERE src IN (SELECT id FROM h1))
     SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM (SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id""",
 )
-def subgraph(e: Estate) -> DataFrame:
-    p = e.access().select(F.col("service").alias("src"), F.col("resource").alias("dst")).distinct()
-    both = p.unionByName(p.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return G.reachable(both, e.spark.createDataFrame([("cr:service:s1",)], "id string"), 2)
+def subgraph(e: Estate, start: int = 2) -> DataFrame:
+    """Two hops around one service. A resource's number is made negative, so services and resources are one set of nodes."""
+    p = e.use().select(F.col("s").alias("src"), (-1 - F.col("x")).alias("dst")).distinct()
+    both = p.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
+    out = G.reachable(both, e.spark.createDataFrame([(start,)], "id long"), 2)
+    return out.select(F.when(F.col("id") >= 0, estate.service_urn(F.col("id"))).otherwise(estate.resource_urn(-1 - F.col("id"))).alias("id"), "hop")
 
 
 @query(

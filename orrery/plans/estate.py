@@ -39,6 +39,27 @@ def urn(kind: str, *parts: Column | str) -> Column:
     return F.concat_ws(":", F.lit(f"cr:{kind}"), *parts)
 
 
+RELS = ("READS", "WRITES", "MAPS_TO", "PUBLISHES_TO", "LISTENS_TO")
+
+
+def number(key: Column, odd: int) -> Column:
+    """One number for keys of two tables: suppliers and parts are even, customers and orders odd."""
+    return key.cast("long") * 2 + odd
+
+
+def _named(number_: Column, even: str, odd: str) -> Column:
+    """The name of a number; plans carry numbers and names appear in the last projection."""
+    return F.concat(F.when(number_ % 2 == 0, even).otherwise(odd), F.floor(number_ / 2).cast("long").cast("string"))
+
+
+def service_urn(s: Column) -> Column:
+    return _named(s, "cr:service:s", "cr:service:c")
+
+
+def resource_urn(x: Column) -> Column:
+    return _named(x, "cr:datacontainer:p", "cr:channel:o")
+
+
 class Estate:
     """Lazy frames over one folder of tables."""
 
@@ -80,8 +101,34 @@ class Estate:
         heard = self.table("orders").select(urn("function", key).alias("src"), F.lit("LISTENS_TO").alias("rel"), urn("channel", key).alias("dst"), F.lit(1).alias("alive"))
         return data.unionByName(sent).unionByName(heard).groupBy("src", "rel", "dst").agg((F.max("alive") == 1).alias("live"))
 
-    def access(self) -> DataFrame:
+    def teams(self) -> DataFrame:
+        """s and team of every service, by number."""
+        place = F.broadcast(self.table("nation").join(F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("k"), F.lower("r_name").alias("team")))
+        own = [self.table(t).select(F.col(f"{p}_nationkey").alias("k"), number(F.col(key), odd).alias("s")) for t, p, key, odd in (("supplier", "s", "s_suppkey", 0), ("customer", "c", "c_custkey", 1))]
+        return own[0].unionByName(own[1]).join(place, "k").select("s", "team")
+
+    def use(self, *rels: str) -> DataFrame:
+        """s, rel, x and n: live function edges of each service with each resource, by numbers, as small integers; rel indexes RELS.
+
+        The service is that of the line or order itself, so nothing is joined, and each part has one exchange: lines are dealt by
+        a subset of the keys that both the distinct edges and their counts need."""
+        parts = []
+        lines = self.table("lineitem").filter("l_linestatus = 'O'")
+        if data := [r for r in rels or RELS if r in ("READS", "WRITES", "MAPS_TO")]:
+            flag = {"READS": "N", "WRITES": "R", "MAPS_TO": "A"}
+            own = lines.filter(F.col("l_returnflag").isin(*[flag[r] for r in data])) if len(data) < 3 else lines
+            rel = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "R", 1).otherwise(2)
+            own = own.select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", rel.cast("byte").alias("rel")).repartition("l_suppkey", "l_partkey").distinct()
+            parts.append(own.groupBy("l_suppkey", "l_partkey", "rel").agg(F.count(F.lit(1)).alias("n")).select(number(F.col("l_suppkey"), 0).alias("s"), "rel", number(F.col("l_partkey"), 0).alias("x"), "n"))
+        if "PUBLISHES_TO" in (rels or RELS):
+            own = lines.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").distinct().groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+            parts.append(own.select(number(F.col("l_suppkey"), 0).alias("s"), F.lit(3).cast("byte").alias("rel"), number(F.col("l_orderkey"), 1).alias("x"), "n"))
+        if "LISTENS_TO" in (rels or RELS):
+            own = self.table("orders").groupBy("o_custkey", "o_orderkey").agg(F.lit(1).cast("long").alias("n"))
+            parts.append(own.select(number(F.col("o_custkey"), 1).alias("s"), F.lit(4).cast("byte").alias("rel"), number(F.col("o_orderkey"), 1).alias("x"), "n"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def access(self, *rels: str) -> DataFrame:
         """service, rel, resource and the number of live function edges between them."""
-        live = self.edges().filter("live")
-        joined = live.join(self.functions(), live["src"] == F.col("id"))
-        return joined.groupBy("service", "rel", F.col("dst").alias("resource")).agg(F.count(F.lit(1)).alias("n"))
+        names = F.array(*[F.lit(r) for r in RELS])
+        return self.use(*rels).select(service_urn(F.col("s")).alias("service"), F.get(names, F.col("rel").cast("int")).alias("rel"), resource_urn(F.col("x")).alias("resource"), "n")

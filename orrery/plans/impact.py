@@ -66,8 +66,7 @@ def longest_root(e: Estate) -> DataFrame:
 )
 def precision_recall(e: Estate) -> DataFrame:
     """Written resources as the wanted set, read ones as the given set; a share of nothing is 1. One aggregate instead of a full join."""
-    a = e.access().filter(F.col("rel").isin("READS", "WRITES"))
-    b = a.groupBy("service", "resource").agg(F.max((F.col("rel") == "WRITES").cast("int")).alias("want"), F.max((F.col("rel") == "READS").cast("int")).alias("got"))
+    b = e.access("READS", "WRITES").groupBy("service", "resource").agg(F.max((F.col("rel") == "WRITES").cast("int")).alias("want"), F.max((F.col("rel") == "READS").cast("int")).alias("got"))
     c = b.groupBy("service").agg(F.sum(F.col("want") * F.col("got")).alias("hits"), F.sum("want").alias("wanted"), F.sum("got").alias("given"))
     share = lambda d: F.when(F.col(d) == 0, F.lit(1.0)).otherwise(F.col("hits") / F.when(F.col(d) != 0, F.col(d)))
     return c.select("service", "hits", share("given").alias("precision"), share("wanted").alias("recall"))
@@ -84,9 +83,8 @@ def precision_recall(e: Estate) -> DataFrame:
 )
 def two_hop_blast(e: Estate, start: str = "cr:service:s1") -> DataFrame:
     """Consumers of a service's outputs, and of theirs. One that is reached both ways is in tier 2 with its smallest via."""
-    a = e.access()
-    w = a.filter(F.col("rel").isin("WRITES", "PUBLISHES_TO")).select(F.col("service").alias("src"), "resource").distinct()
-    r = a.filter(F.col("rel").isin("READS", "LISTENS_TO", "MAPS_TO")).select(F.col("service").alias("dst"), "resource").distinct()
+    w = e.access("WRITES", "PUBLISHES_TO").select(F.col("service").alias("src"), "resource").distinct()
+    r = e.access("READS", "LISTENS_TO", "MAPS_TO").select(F.col("service").alias("dst"), "resource").distinct()
     # each hop starts from its few services, so the whole service graph is never made
     one = w.filter(F.col("src") == start).join(r, "resource").filter(F.col("dst") != start).select("dst").distinct()
     outputs = w.join(one.withColumnRenamed("dst", "src"), "src", "left_semi")
@@ -105,7 +103,7 @@ def two_hop_blast(e: Estate, start: str = "cr:service:s1") -> DataFrame:
 def removed_edges(e: Estate) -> DataFrame:
     """Producing edges that are gone: a danger where live consumers remain, a warning elsewhere."""
     gone = e.edges().filter(~F.col("live") & F.col("rel").isin("WRITES", "PUBLISHES_TO")).groupBy("rel", F.col("dst").alias("resource")).agg(n().alias("removed"))
-    c = e.access().filter(F.col("rel").isin("READS", "LISTENS_TO", "MAPS_TO")).groupBy("resource").agg(F.countDistinct("service").alias("hit"))
+    c = e.access("READS", "LISTENS_TO", "MAPS_TO").groupBy("resource").agg(F.countDistinct("service").alias("hit"))
     hit = F.col("hit").isNull()
     out = gone.join(c, "resource", "left")
     return out.select("rel", "resource", "removed", F.coalesce("hit", F.lit(0)).alias("affected"), F.when(hit, "WARNING").otherwise("DANGER").alias("severity"), F.when(hit, 1).otherwise(2 * F.col("hit") + 1).alias("score"))
