@@ -462,4 +462,4 @@ def redaction(e: Estate) -> DataFrame:
     return d.select("doc_id", S.redacted(F.col("text")).alias("text"))
 
 
-from . import impact  # noqa: E402, F401  registers its queries
+from . import changes, impact, supply, topology  # noqa: E402, F401  they register their queries
