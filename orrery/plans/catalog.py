@@ -462,4 +462,4 @@ def redaction(e: Estate) -> DataFrame:
     return d.select("doc_id", S.redacted(F.col("text")).alias("text"))
 
 
-from . import changes, identities, impact, supply, topology  # noqa: E402, F401  they register their queries
+from . import changes, fixpoints, identities, impact, supply, topology  # noqa: E402, F401  they register their queries
