@@ -462,4 +462,4 @@ def redaction(e: Estate) -> DataFrame:
     return d.select("doc_id", S.redacted(F.col("text")).alias("text"))
 
 
-from . import changes, fixpoints, governance, identities, impact, supply, topology, welds  # noqa: E402, F401  they register their queries
+from . import changes, fixpoints, governance, identities, impact, reports, supply, topology, welds  # noqa: E402, F401  they register their queries
