@@ -221,4 +221,4 @@ def unsafe_container(name: Column) -> Column:
 def scope_class(path: Column) -> Column:
     """The environment that a path names, in the order in which they are asked for."""
     p = F.lower(path)
-    return F.when(p.rlike(r"(^|[/._-])(prod|production|live)([/._-]|$)"), "production").when(p.rlike(r"(^|[/._-])(stag|staging|preprod|uat)([/._-]|$)"), "staging").when(p.rlike(r"(^|[/._-])(dev|development|local)([/._-]|$)|docker-compose"), "development").when(p.rlike(r"(^|[/._-])(test|testing|ci)([/._-]|$)"), "test").otherwise("unknown")
+    return F.when(p.rlike(r"(^|[/._-])(prod|production|live)([/._-]|$)"), "production").when(p.rlike(r"(^|[/._-])(stag|staging|preprod|uat)([/._-]|$)"), "staging").when(p.rlike(r"(^|[/._-])(dev|development|local)([/._-]|$)|docker-compose"), "development").when(p.rlike(r"(^|[/._-])(tests?|testing|ci)([/._-]|$)"), "test").otherwise("unknown")

@@ -27,7 +27,8 @@ def cvss_base(vector: Column) -> Column:
     exploit = 8.22 * w["AV"] * w["AC"] * pr * w["UI"]
     iss = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
     impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-    raw = F.least(F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit), F.lit(10.0))
+    whole = F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit)
+    raw = F.when(whole > 10, 10.0).otherwise(whole)
     # the smallest number with one decimal that is no less, safe from rounding; a missing metric makes it null
     up = F.ceil(F.floor(raw * 100000 + 0.5) / 10000) / 10
     return F.when(vector.rlike(r"^CVSS:3\.[01]/") & raw.isNotNull(), F.when(impact <= 0, 0.0).otherwise(up))

@@ -1,4 +1,4 @@
-"""Scalar expressions: paths, URLs, versions, severities, fingerprints."""
+"""Scalar expressions: paths, URLs, fingerprints, liveness, redaction."""
 
 from __future__ import annotations
 
@@ -21,21 +21,6 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"/\{[^/}]*\}", "/{param}"), r"/[0-9]+(?=/|$)", "/{param}")
 
 
-def version_parts(version: Column) -> Column:
-    return F.transform(F.split(F.regexp_replace(version, "^[v^~=]+", ""), r"\."), lambda p: p.cast("int"))
-
-
-def version_drift(have: Column, latest: Column) -> Column:
-    """major, minor, patch or none."""
-    a, b = version_parts(have), version_parts(latest)
-    differs = lambda i: F.get(a, F.lit(i)) != F.get(b, F.lit(i))
-    return F.when(differs(0), "major").when(differs(1), "minor").when(differs(2), "patch").otherwise("none")
-
-
-def severity(score: Column) -> Column:
-    return F.when(score >= 9, "CRITICAL").when(score >= 7, "HIGH").when(score >= 4, "MEDIUM").when(score > 0, "LOW").otherwise("NONE")
-
-
 def content_hash(text: Column) -> Column:
     """The first 16 hex digits of SHA-256."""
     return F.left(F.sha2(text.cast("binary"), 256), F.lit(16))

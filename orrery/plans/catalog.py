@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import risk, semver
 from ..functions import scalars as S
 from ..operators import graph as G
 from . import estate
@@ -265,24 +266,13 @@ def version_drift(e: Estate) -> DataFrame:
     d = _deps(e).groupBy("service", "package").agg(F.max("minor").alias("minor"))
     top = d.groupBy("package").agg(F.max("minor").alias("latest"))
     v = lambda c: F.concat(F.lit("1."), F.col(c).cast("string"), F.lit(".0"))
-    return d.join(top, "package").select("service", "package", S.version_drift(v("minor"), v("latest")).alias("drift"))
+    keys = d.join(top, "package").select("service", "package", semver.key(v("minor")).alias("a"), semver.key(v("latest")).alias("b"))
+    return keys.select("service", "package", semver.difference(F.col("a"), F.col("b")).alias("drift"))
 
 
-@query(
-    "e20_vulnerabilities",
-    _DEPS + """, vuln AS (SELECT DISTINCT p_brand AS package, p_size AS minor, p_retailprice FROM part WHERE p_size <= 3)
-    SELECT package, count(DISTINCT service) AS exposed, max(CASE WHEN p_retailprice >= 1500 THEN 3 WHEN p_retailprice >= 1200 THEN 2 ELSE 1 END) AS worst
-    FROM dep JOIN vuln USING (package, minor) GROUP BY package""",
-)
-def vulnerabilities(e: Estate) -> DataFrame:
-    v = e.table("part").filter("p_size <= 3").select(F.col("p_brand").alias("package"), F.col("p_size").alias("minor"), "p_retailprice").distinct()
-    rank = F.when(F.col("p_retailprice") >= 1500, 3).when(F.col("p_retailprice") >= 1200, 2).otherwise(1)
-    return _deps(e).join(v, ["package", "minor"]).groupBy("package").agg(F.countDistinct("service").alias("exposed"), F.max(rank).alias("worst"))
-
-
-@query("e23_severity", "SELECT p_partkey, CASE WHEN p_size / 5.0 >= 9 THEN 'CRITICAL' WHEN p_size / 5.0 >= 7 THEN 'HIGH' WHEN p_size / 5.0 >= 4 THEN 'MEDIUM' WHEN p_size > 0 THEN 'LOW' ELSE 'NONE' END AS severity FROM part", ctes=False)
+@query("e23_severity", "SELECT p_partkey, CASE WHEN p_size / 5.0 >= 9 THEN 'CRITICAL' WHEN p_size / 5.0 >= 7 THEN 'HIGH' WHEN p_size / 5.0 >= 4 THEN 'MEDIUM' WHEN p_size > 0 THEN 'LOW' ELSE 'UNKNOWN' END AS severity FROM part", ctes=False)
 def severity(e: Estate) -> DataFrame:
-    return e.table("part").select("p_partkey", S.severity(F.col("p_size") / 5.0).alias("severity"))
+    return e.table("part").select("p_partkey", risk.severity(F.lit(None).cast("string"), F.col("p_size") / 5.0).alias("severity"))
 
 
 @query("e25_quality_tiers", "SELECT source, count(*) FILTER (quality = 1) AS high, count(*) FILTER (quality = 0) AS low, count(*) FILTER (toxic = 1) AS needs_review FROM labels JOIN documents USING (doc_id) GROUP BY source", ctes=False)
@@ -291,12 +281,6 @@ def quality_tiers(e: Estate) -> DataFrame:
     return d.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("high"), F.count_if(F.col("quality") == 0).alias("low"), F.count_if(F.col("toxic") == 1).alias("needs_review"))
 
 
-@query("e24_governance", "SELECT c_mktsegment AS rule, count(*) AS evaluated, count(*) FILTER (c_acctbal >= 0) AS compliant, CAST(floor(100.0 * count(*) FILTER (c_acctbal >= 0) / count(*) + 0.5) AS BIGINT) AS percent FROM customer GROUP BY 1", ctes=False)
-def governance(e: Estate) -> DataFrame:
-    ok = F.count_if(F.col("c_acctbal") >= 0)
-    return e.table("customer").groupBy(F.col("c_mktsegment").alias("rule")).agg(n().alias("evaluated"), ok.alias("compliant"), F.floor(100.0 * ok / n() + 0.5).cast("long").alias("percent"))
-
-
 @query("e28_word_census", "SELECT w AS tool, count(DISTINCT p_partkey) AS configs, count(DISTINCT p_brand) AS repos FROM (SELECT p_partkey, p_brand, unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w <> '' GROUP BY w", ctes=False)
 def census(e: Estate) -> DataFrame:
     w = e.table("part").select("p_partkey", "p_brand", F.explode(F.split("p_name", " ")).alias("tool")).filter("tool <> ''")
@@ -344,11 +328,6 @@ def missing_endpoints(e: Estate) -> DataFrame:
     return G.split_missing_endpoints(e.edges().filter("rel = 'LISTENS_TO'").select("src", "rel", "dst"), channels.unionByName(e.functions().select("id")))
 
 
-@query("b11_tombstones", "SELECT src, count(*) AS tombstoned FROM edge WHERE NOT live GROUP BY src")
-def tombstones(e: Estate) -> DataFrame:
-    return e.edges().filter("NOT live").groupBy("src").agg(n().alias("tombstoned"))
-
-
 @query("b13_gc_containers", "SELECT 'cr:datacontainer:p' || p_partkey AS id FROM part WHERE 'cr:datacontainer:p' || p_partkey NOT IN (SELECT dst FROM edge WHERE live)")
 def gc_containers(e: Estate) -> DataFrame:
     ids = e.table("part").select(estate.urn("datacontainer", F.concat(F.lit("p"), F.col("p_partkey").cast("string"))).alias("id"))
@@ -393,11 +372,6 @@ def endpoint_groups(e: Estate) -> DataFrame:
     return p.groupBy("host", "path").agg(n().alias("endpoints"), F.min("page_id").alias("survivor"))
 
 
-@query("c13_trace_stages", "SELECT role AS stage, count(*) AS events, count(DISTINCT conv_id) AS traces, max(turn) AS last_turn FROM conversations GROUP BY role", ctes=False)
-def trace_stages(e: Estate) -> DataFrame:
-    return e.table("conversations").groupBy(F.col("role").alias("stage")).agg(n().alias("events"), F.countDistinct("conv_id").alias("traces"), F.max("turn").alias("last_turn"))
-
-
 @query("a4_spans", "SELECT user_id AS service, event_type AS operation, count(*) AS spans, round(max(value), 6) AS slowest, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1, 2", ctes=False)
 def spans(e: Estate) -> DataFrame:
     k = F.from_json("props", "k long")["k"]
@@ -438,18 +412,6 @@ def subgraph(e: Estate, start: int = 2) -> DataFrame:
     return out.select(F.when(F.col("id") >= 0, estate.service_urn(F.col("id"))).otherwise(estate.resource_urn(-1 - F.col("id"))).alias("id"), "hop")
 
 
-@query(
-    "m5_rules",
-    """+ f AS (SELECT repo, count(*) AS services FROM service GROUP BY repo)
-    SELECT repo, 'owner-present' AS rule, CASE WHEN services > 0 THEN 'pass' ELSE 'fail' END AS status FROM f
-    UNION ALL SELECT repo, 'few-services', CASE WHEN services <= 60 THEN 'pass' ELSE 'fail' END FROM f""",
-)
-def rules(e: Estate) -> DataFrame:
-    f = e.services().groupBy("repo").agg(n().alias("services"))
-    checks = F.array(F.struct(F.lit("owner-present").alias("rule"), (F.col("services") > 0).alias("ok")), F.struct(F.lit("few-services").alias("rule"), (F.col("services") <= 60).alias("ok")))
-    return f.select("repo", F.explode(checks).alias("c")).select("repo", "c.rule", F.when(F.col("c.ok"), "pass").otherwise("fail").alias("status"))
-
-
 @query("f1_first_hit", "SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber) = 1", ctes=False)
 def first_hit(e: Estate) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber")
@@ -462,4 +424,4 @@ def redaction(e: Estate) -> DataFrame:
     return d.select("doc_id", S.redacted(F.col("text")).alias("text"))
 
 
-from . import changes, fixpoints, governance, identities, impact, reports, supply, topology, welds  # noqa: E402, F401  they register their queries
+from . import changes, filesets, fixpoints, governance, identities, impact, reports, schemas, supply, topology, welds  # noqa: E402, F401  they register their queries

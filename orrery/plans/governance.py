@@ -68,6 +68,20 @@ def compliance_report(e: Estate) -> DataFrame:
     return policy.report(policy.execute(e.spark, policy.READINESS, tables(e))[0])
 
 
+@query(
+    "e24_governance_report",
+    f"""WITH {_TABLES}, r AS ({_RULES}), x AS (SELECT level, entity_id, bool_or(status = 'fail') AS bad, count(DISTINCT rule) FILTER (status = 'fail') AS violations FROM r GROUP BY 1, 2)
+    SELECT level, count(*) AS evaluated, count(*) FILTER (NOT bad) AS compliant, CAST(sum(violations) AS BIGINT) AS violations, CAST(floor(100.0::DOUBLE * count(*) FILTER (NOT bad) / count(*) + 0.5) AS BIGINT) AS percent FROM x GROUP BY level""",
+    ctes=False,
+)
+def governance_report(e: Estate) -> DataFrame:
+    """By level: distinct entities, those without a violation, and violations, each evaluation once."""
+    rows = policy.execute(e.spark, policy.READINESS, tables(e))[0]
+    x = rows.groupBy("level", "entity_id").agg(F.max(F.col("status") == "fail").alias("bad"), F.count_distinct(F.when(F.col("status") == "fail", F.col("rule"))).alias("violations"))
+    out = x.groupBy("level").agg(n().alias("evaluated"), F.count_if(~F.col("bad")).alias("compliant"), F.sum("violations").alias("violations"))
+    return out.withColumn("percent", F.floor(100.0 * F.col("compliant") / F.col("evaluated") + 0.5).cast("long"))
+
+
 @query("m2_rule_execution", f"WITH {_TABLES} SELECT 'ok-rule' AS rule, CAST(id AS VARCHAR) AS entity_id, 'fail' AS status FROM repo WHERE id % 2 = 1", ctes=False)
 def rule_execution(e: Estate) -> DataFrame:
     """Of three rules one runs; one has no column for its detail, one is no query. Rows with another status are left out."""

@@ -109,19 +109,6 @@ def removed_edges(e: Estate) -> DataFrame:
     return out.select("rel", "resource", "removed", F.coalesce("hit", F.lit(0)).alias("affected"), F.when(hit, "WARNING").otherwise("DANGER").alias("severity"), F.when(hit, 1).otherwise(2 * F.col("hit") + 1).alias("score"))
 
 
-@query(
-    "q7_convention_rates",
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
-    SELECT user_id, count(*) AS seen, avg(CASE WHEN regexp_matches(event_type, '^(click|view)') THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM r WHERE k <= 50 GROUP BY user_id""",
-    ctes=False,
-)
-def convention_rates(e: Estate, last: int = 50) -> DataFrame:
-    """Share of each author's last 50 entries that follow a pattern."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    r = e.table("events").select("user_id", "ts", "event_id", "event_type").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= last)
-    return r.groupBy("user_id").agg(n().alias("seen"), F.avg(F.col("event_type").rlike("^(click|view)").cast("double")).alias("rate"))
-
-
 @query(
     "a16_cache_split",
     """WITH c AS (SELECT user_id, max(ts) AS fetched FROM events GROUP BY user_id), now AS (SELECT max(ts) AS stamp FROM events)
@@ -159,15 +146,3 @@ def identity_drift(e: Estate) -> DataFrame:
     a = e.table("nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("name"), F.lower("n_name").alias("x"))
     b = F.broadcast(a.toDF("j", "other", "y"))
     return a.join(b, (F.col("i") < F.col("j")) & ((F.levenshtein("x", "y") < 3) | F.contains("x", "y") | F.contains("y", "x"))).select("name", "other")
-
-
-@query(
-    "d8_unique_identity",
-    """WITH s AS (SELECT p_name AS name, count(DISTINCT p_partkey) AS k, min(p_partkey) AS target FROM part GROUP BY p_name)
-    SELECT name, target FROM s WHERE k = 1""",
-    ctes=False,
-)
-def unique_identity(e: Estate) -> DataFrame:
-    """Names with exactly one target; smallest and largest target agree, so no distinct set is kept."""
-    s = e.table("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("target"), F.max("p_partkey").alias("last"))
-    return s.filter("target = last").drop("last")

@@ -89,10 +89,10 @@ def resource_context(e: Estate) -> DataFrame:
 
 @query(
     "c4_field_resolve",
-    "WITH f AS (SELECT p_partkey AS id, 'cr:field:' || p_brand || ':' || p_type AS urn, p_type AS name FROM part), t AS (SELECT id, CASE WHEN urn = 'STEEL' THEN 1 WHEN lower(name) = 'steel' THEN 2 WHEN contains(lower(urn), 'steel') THEN 3 END AS tier FROM f) SELECT id, tier FROM t WHERE tier = (SELECT min(tier) FROM t)",
+    "WITH f AS (SELECT p_partkey AS id, 'cr:field:' || p_brand || ':' || p_type AS urn, p_type AS name FROM part), t AS (SELECT id, CASE WHEN urn = 'STANDARD' THEN 1 WHEN lower(name) = 'standard' THEN 2 WHEN contains(lower(urn), 'standard') THEN 3 END AS tier FROM f) SELECT id, tier FROM t WHERE tier = (SELECT min(tier) FROM t)",
     ctes=False,
 )
-def field_resolve(e: Estate, asked: str = "STEEL") -> DataFrame:
+def field_resolve(e: Estate, asked: str = "STANDARD") -> DataFrame:
     f = e.table("part").selectExpr("p_partkey AS id", "concat('cr:field:', p_brand, ':', p_type) AS urn", "p_type AS name")
     low = asked.lower()
     return R.tiers(f, F.lit(asked), F.col("urn") == asked, F.lower("name") == low, F.contains(F.lower("urn"), F.lit(low))).select("id", "tier")
@@ -127,10 +127,10 @@ def page(e: Estate, skip: int = 3, size: int = 5) -> DataFrame:
     return e.table("supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")).orderBy("name", "id").offset(skip).limit(size)
 
 
-@query("c11_io_gate", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'tainted' WHEN p_type = 'STEEL' THEN 'sink' WHEN p_brand LIKE '%3' THEN 'decorator' WHEN p_partkey % 5 = 0 THEN 'convention' ELSE 'none' END AS gate FROM part", ctes=False)
+@query("c11_io_gate", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'tainted' WHEN p_type = 'STANDARD' THEN 'sink' WHEN p_brand LIKE '%3' THEN 'decorator' WHEN p_partkey % 5 = 0 THEN 'convention' ELSE 'none' END AS gate FROM part", ctes=False)
 def io_gate(e: Estate) -> DataFrame:
     """The first of ordered tests that says a function does input or output."""
-    gates = ((F.col("p_size") % 2 == 0, "tainted"), (F.col("p_type") == "STEEL", "sink"), (F.col("p_brand").endswith("3"), "decorator"), (F.col("p_partkey") % 5 == 0, "convention"))
+    gates = ((F.col("p_size") % 2 == 0, "tainted"), (F.col("p_type") == "STANDARD", "sink"), (F.col("p_brand").endswith("3"), "decorator"), (F.col("p_partkey") % 5 == 0, "convention"))
     return e.table("part").select(F.col("p_partkey").alias("id"), F.coalesce(*[F.when(t, g) for t, g in gates], F.lit("none")).alias("gate"))
 
 
@@ -179,10 +179,10 @@ def url_join(e: Estate) -> DataFrame:
     return p.filter("page_id % 2 = 1").join(d, "host").select("page_id", "apis", F.when(F.col("apis") == 1, F.col("api")).alias("api"))
 
 
-@query("d18_implements_rewire", "WITH c AS (SELECT p_partkey AS id, p_brand AS s, lower(p_type) AS m, p_size AS path FROM part WHERE p_partkey % 2 = 0), o AS (SELECT p_brand AS s, p_type AS m, p_size AS path, min(p_partkey) AS spec FROM part WHERE p_partkey % 2 = 1 GROUP BY 1, 2, 3) SELECT id, spec FROM c JOIN o ON c.s = o.s AND c.path = o.path AND c.m = lower(o.m)", ctes=False)
+@query("d18_implements_rewire", "WITH c AS (SELECT p_partkey AS id, p_brand AS s, lower(p_type) AS m, p_size % 3 AS path FROM part WHERE p_partkey % 2 = 0), o AS (SELECT p_brand AS s, p_type AS m, p_size % 3 AS path, min(p_partkey) AS spec FROM part WHERE p_partkey % 2 = 1 GROUP BY 1, 2, 3) SELECT id, spec FROM c JOIN o ON c.s = o.s AND c.path = o.path AND c.m = lower(o.m)", ctes=False)
 def implements_rewire(e: Estate) -> DataFrame:
     """Implementations in code moved to the specified endpoint of the same service, path and method in any case."""
-    p = e.table("part").selectExpr("p_partkey AS id", "p_brand AS s", "lower(p_type) AS m", "p_size AS path")
+    p = e.table("part").selectExpr("p_partkey AS id", "p_brand AS s", "lower(p_type) AS m", "p_size % 3 AS path")
     return p.filter("id % 2 = 0").join(p.filter("id % 2 = 1").groupBy("s", "m", "path").agg(F.min("id").alias("spec")), ["s", "m", "path"]).select("id", "spec")
 
 
@@ -291,13 +291,13 @@ def canonical(e: Estate) -> DataFrame:
 
 @query(
     "f8_contract_ladder",
-    "WITH s AS (SELECT p_partkey AS id, p_type AS name, p_brand AS scope FROM part WHERE p_size % 2 = 0), a AS (SELECT c_custkey AS k, ['STEEL', 'TIN', 'BRASS'][c_custkey % 3 + 1] AS name, 'Brand#' || (c_nationkey % 5 + 1) || (c_nationkey // 5 + 1) AS scope FROM customer), x AS (SELECT k, max(id) AS t FROM a JOIN s USING (name, scope) GROUP BY k), y AS (SELECT k, max(id) AS t FROM a JOIN s USING (name) GROUP BY k) SELECT y.k, coalesce(x.t, y.t) AS target, CASE WHEN x.t IS NOT NULL THEN 1 ELSE 2 END AS tier FROM y LEFT JOIN x USING (k)",
+    "WITH s AS (SELECT p_partkey AS id, p_type AS name, p_brand AS scope FROM part WHERE p_size % 2 = 0), a AS (SELECT c_custkey AS k, ['STANDARD', 'PROMO', 'SMALL'][c_custkey % 3 + 1] AS name, 'Brand#' || (c_nationkey + 1) AS scope FROM customer), x AS (SELECT k, max(id) AS t FROM a JOIN s USING (name, scope) GROUP BY k), y AS (SELECT k, max(id) AS t FROM a JOIN s USING (name) GROUP BY k) SELECT y.k, coalesce(x.t, y.t) AS target, CASE WHEN x.t IS NOT NULL THEN 1 ELSE 2 END AS tier FROM y LEFT JOIN x USING (k)",
     ctes=False,
 )
 def contract_ladder(e: Estate) -> DataFrame:
     """The contract of a name and scope, else the latest of that name."""
     s = e.table("part").filter("p_size % 2 = 0").selectExpr("p_partkey AS id", "p_type AS name", "p_brand AS scope")
-    a = e.table("customer").selectExpr("c_custkey AS k", "element_at(array('STEEL', 'TIN', 'BRASS'), cast(c_custkey % 3 + 1 AS int)) AS name", "concat('Brand#', c_nationkey % 5 + 1, c_nationkey div 5 + 1) AS scope")
+    a = e.table("customer").selectExpr("c_custkey AS k", "element_at(array('STANDARD', 'PROMO', 'SMALL'), cast(c_custkey % 3 + 1 AS int)) AS name", "concat('Brand#', c_nationkey + 1) AS scope")
     one = a.join(s.groupBy("name", "scope").agg(F.max("id").alias("target")), ["name", "scope"]).select("k", "target")
     two = a.join(s.groupBy("name").agg(F.max("id").alias("target")), "name").select("k", "target")
     return W.first_tier(a, "k", one, two)

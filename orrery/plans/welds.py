@@ -322,12 +322,12 @@ def channel_aliases(e: Estate) -> DataFrame:
 
 @query(
     "l12_broker_convergence",
-    "SELECT 'h' || p_size AS host, min(p_type) AS provider, count(DISTINCT p_brand) AS repos FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 2 END AS port FROM part WHERE p_size % 2 = 0 OR p_type = 'STEEL') WHERE p_type IS NOT NULL GROUP BY p_size HAVING count(DISTINCT p_brand) >= 2 AND count(DISTINCT p_type) = 1 AND count(DISTINCT port) <= 1",
+    "SELECT 'h' || p_size AS host, min(p_type) AS provider, count(DISTINCT p_brand) AS repos FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size % 2 END AS port FROM part WHERE p_size % 2 = 0 OR p_type = 'STANDARD') WHERE p_type IS NOT NULL GROUP BY p_size HAVING count(DISTINCT p_brand) >= 2 AND count(DISTINCT p_type) = 1 AND count(DISTINCT port) <= 1",
     ctes=False,
 )
 def broker_convergence(e: Estate) -> DataFrame:
     """Hosts that two repositories or more name with one provider and at most one port: a broker of their own."""
-    c = e.table("part").filter("p_size % 2 = 0 OR p_type = 'STEEL'").selectExpr("concat('h', p_size) AS host", "p_type", "p_brand", "if(p_size % 3 = 0, null, p_size % 2) AS port")
+    c = e.table("part").filter("p_size % 2 = 0 OR p_type = 'STANDARD'").selectExpr("concat('h', p_size) AS host", "p_type", "p_brand", "if(p_size % 3 = 0, null, p_size % 2) AS port")
     g = c.groupBy("host").agg(F.min("p_type").alias("provider"), F.max("p_type").alias("other"), F.count_distinct("p_brand").alias("repos"), F.min("port").alias("a"), F.max("port").alias("b"))
     return g.filter("provider = other AND repos >= 2 AND (a IS NULL OR a = b)").select("host", "provider", "repos")
 
@@ -346,7 +346,7 @@ def broker_consolidation(e: Estate) -> DataFrame:
 
 @query(
     "l14_autopromote",
-    """WITH c AS (SELECT p_partkey AS channel, p_type AS repo, p_size % 5 AS tech, p_size % 11 = 0 AS cqrs FROM part), x AS (SELECT DISTINCT s_suppkey AS broker, ['STEEL', 'BRASS', 'TIN', 'COPPER', 'NICKEL'][s_suppkey % 5 + 1] AS repo, s_nationkey % 5 AS tech FROM supplier),
+    """WITH c AS (SELECT p_partkey AS channel, p_type AS repo, p_size % 5 AS tech, p_size % 11 = 0 AS cqrs FROM part), x AS (SELECT DISTINCT s_suppkey AS broker, ['STANDARD', 'PROMO', 'SMALL', 'LARGE', 'ECONOMY'][s_suppkey % 5 + 1] AS repo, s_nationkey % 5 AS tech FROM supplier),
     m AS (SELECT channel, any_value(cqrs) AS cqrs, count(DISTINCT broker) AS k, min(broker) AS broker FROM c LEFT JOIN x USING (repo, tech) GROUP BY channel)
     SELECT channel, CASE WHEN cqrs THEN 'tombstone' WHEN k = 1 THEN 'promote' WHEN k > 1 THEN 'review' ELSE 'stay' END AS action, CASE WHEN NOT cqrs AND k = 1 THEN broker END AS broker FROM m""",
     ctes=False,
@@ -354,7 +354,7 @@ def broker_consolidation(e: Estate) -> DataFrame:
 def autopromote(e: Estate) -> DataFrame:
     """What becomes of a logical channel: it ends if its name is a class's, moves to the only broker that fits, or waits for review."""
     c = e.table("part").selectExpr("p_partkey AS channel", "p_type AS repo", "p_size % 5 AS tech", "p_size % 11 = 0 AS cqrs")
-    x = e.table("supplier").selectExpr("s_suppkey AS broker", "element_at(array('STEEL', 'BRASS', 'TIN', 'COPPER', 'NICKEL'), cast(s_suppkey % 5 + 1 AS int)) AS repo", "s_nationkey % 5 AS tech").groupBy("repo", "tech").agg(F.min("broker").alias("broker"), F.count_distinct("broker").alias("k"))
+    x = e.table("supplier").selectExpr("s_suppkey AS broker", "element_at(array('STANDARD', 'PROMO', 'SMALL', 'LARGE', 'ECONOMY'), cast(s_suppkey % 5 + 1 AS int)) AS repo", "s_nationkey % 5 AS tech").groupBy("repo", "tech").agg(F.min("broker").alias("broker"), F.count_distinct("broker").alias("k"))
     m = c.join(x, ["repo", "tech"], "left").fillna(0, ["k"])
     action = F.when(F.col("cqrs"), "tombstone").when(F.col("k") == 1, "promote").when(F.col("k") > 1, "review").otherwise("stay")
     return m.select("channel", action.alias("action"), F.when(~F.col("cqrs") & (F.col("k") == 1), F.col("broker")).alias("broker"))
