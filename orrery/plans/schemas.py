@@ -104,10 +104,10 @@ def sanitized_facts(e: Estate) -> DataFrame:
     return e.table("part").groupBy(F.coalesce(*[F.when(t, a) for t, a in steps], F.lit("keep")).alias("action")).agg(n().alias("n"))
 
 
-@query("q14_completeness", "SELECT DISTINCT p_brand AS file, p_type AS signal FROM part WHERE p_size % 2 = 0 EXCEPT SELECT p_brand, p_type FROM part WHERE p_size % 3 = 0", ctes=False)
+@query("q14_completeness", "SELECT DISTINCT p_brand AS file, p_name AS signal FROM part WHERE p_size % 2 = 0 EXCEPT SELECT p_brand, p_name FROM part WHERE p_size % 3 = 0", ctes=False)
 def completeness(e: Estate) -> DataFrame:
     """Signals of a source file without a fact."""
-    p = e.table("part").select(F.col("p_brand").alias("file"), F.col("p_type").alias("signal"), "p_size")
+    p = e.table("part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("signal"), "p_size")
     return p.filter("p_size % 2 = 0").select("file", "signal").distinct().join(p.filter("p_size % 3 = 0").select("file", "signal"), ["file", "signal"], "left_anti")
 
 

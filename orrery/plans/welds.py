@@ -48,23 +48,23 @@ def edge_reconcile(e: Estate) -> DataFrame:
     return W.reconciled(_uses(e), expected, "c2").groupBy("valid_to").agg(n().alias("n"))
 
 
-@query("b13_gc_datastores", "SELECT DISTINCT p_brand AS id FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity > 49) AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1)", ctes=False)
+@query("b13_gc_datastores", "SELECT DISTINCT p_brand AS id FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_orderkey < 5) AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey < 4)", ctes=False)
 def gc_datastores(e: Estate) -> DataFrame:
     """Stores that neither a live container nor an endpoint refers to."""
     p = e.table("part")
-    used = e.table("lineitem").filter("l_quantity > 49").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("id"))
-    return W.orphans(p.select(F.col("p_brand").alias("id")).distinct(), used, p.filter("p_size = 1").select(F.col("p_brand").alias("id")))
+    used = e.table("lineitem").filter("l_orderkey < 5").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("id"))
+    return W.orphans(p.select(F.col("p_brand").alias("id")).distinct(), used, p.filter("p_partkey < 4").select(F.col("p_brand").alias("id")))
 
 
 @query(
     "b15_gc_structures",
-    "WITH s AS (SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N') AND p_size % 2 = 0) SELECT 'structure' AS kind, id FROM s UNION ALL SELECT 'field', 10 * id + i FROM s, (SELECT unnest([1, 2]) AS i)",
+    "WITH s AS (SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N' AND l_orderkey % 50 = 0) AND p_size % 2 = 0) SELECT 'structure' AS kind, id FROM s UNION ALL SELECT 'field', 10 * id + i FROM s, (SELECT unnest([1, 2]) AS i)",
     ctes=False,
 )
 def gc_structures(e: Estate) -> DataFrame:
     """Structures without references, where a definition counts only from a trusted source, and their fields with them."""
     p = e.table("part").select(F.col("p_partkey").alias("id"), "p_size")
-    dead = W.orphans(p.select("id"), e.table("lineitem").filter("l_returnflag = 'N'").select(F.col("l_partkey").alias("id")), p.filter("p_size % 2 <> 0"))
+    dead = W.orphans(p.select("id"), e.table("lineitem").filter("l_returnflag = 'N' AND l_orderkey % 50 = 0").select(F.col("l_partkey").alias("id")), p.filter("p_size % 2 <> 0"))
     fields = dead.select(F.explode(F.array(10 * F.col("id") + 1, 10 * F.col("id") + 2)).alias("id"))
     return dead.select(F.lit("structure").alias("kind"), "id").unionByName(fields.select(F.lit("field").alias("kind"), "id"))
 
@@ -110,7 +110,7 @@ def incomplete_systems(e: Estate) -> DataFrame:
     return e.table("nation").select(F.col("n_nationkey").alias("system")).join(s, "system", "left_anti")
 
 
-_NAMES = "n AS (SELECT s_suppkey AS id, 'svc' || s_suppkey % 7 AS name, 'cat' || s_suppkey % 9 AS catalog FROM supplier)"
+_NAMES = "n AS (SELECT s_suppkey AS id, 'svc' || s_suppkey % 7 AS name, 'cat' || s_suppkey % 9 AS catalog FROM supplier WHERE s_suppkey <= 12)"
 
 
 @query(
@@ -120,7 +120,7 @@ _NAMES = "n AS (SELECT s_suppkey AS id, 'svc' || s_suppkey % 7 AS name, 'cat' ||
 )
 def identity_join(e: Estate) -> DataFrame:
     """References by name or catalog name, where exactly one node answers; one equi-join for each name."""
-    s = e.table("supplier").selectExpr("s_suppkey AS target", "concat('svc', s_suppkey % 7) AS name", "concat('cat', s_suppkey % 9) AS catalog")
+    s = e.table("supplier").filter("s_suppkey <= 12").selectExpr("s_suppkey AS target", "concat('svc', s_suppkey % 7) AS name", "concat('cat', s_suppkey % 9) AS catalog")
     r = e.table("part").selectExpr("concat(if(p_size % 2 = 0, 'svc', 'cat'), p_size % 12) AS ref").distinct()
     both = s.select("target", F.explode(F.array("name", "catalog")).alias("ref"))
     return W.unique_match(r.join(both, "ref"), "ref", "target")
@@ -134,7 +134,7 @@ def identity_join(e: Estate) -> DataFrame:
 )
 def dependency_bind(e: Estate) -> DataFrame:
     """Unresolved dependencies bound by catalog name, else by name, where one service answers."""
-    s = e.table("supplier").selectExpr("s_suppkey AS target", "concat('svc', s_suppkey % 7) AS name", "concat('cat', s_suppkey % 9) AS catalog")
+    s = e.table("supplier").filter("s_suppkey <= 12").selectExpr("s_suppkey AS target", "concat('svc', s_suppkey % 7) AS name", "concat('cat', s_suppkey % 9) AS catalog")
     r = e.table("part").selectExpr("p_partkey AS ref_id", "concat(if(p_size % 2 = 0, 'svc', 'cat'), p_size % 12) AS ref")
     one = lambda name: W.unique_match(s.select(F.col(name).alias("ref"), "target"), "ref", "target")
     return W.ladder(r, "ref_id", r.join(one("catalog"), "ref").select("ref_id", "target"), r.join(one("name"), "ref").select("ref_id", "target"))
@@ -168,7 +168,7 @@ def shared_stores(e: Estate) -> DataFrame:
 
 @query(
     "d12_routing_join",
-    """WITH q AS (SELECT DISTINCT 'ev.' || lower(split_part(p_type, ' ', 1)) || '.k' || p_size % 5 AS channel FROM part), b AS (SELECT DISTINCT 'q' || p_size AS queue, CASE p_size % 3 WHEN 0 THEN 'ev.' || lower(split_part(p_type, ' ', 1)) || '.#' WHEN 1 THEN 'ev.*.k' || p_size % 5 ELSE 'ev.' || lower(split_part(p_type, ' ', 1)) || '.k0' END AS key FROM part WHERE p_size < 9),
+    """WITH q AS (SELECT DISTINCT 'ev.' || lower(split_part(p_type, ' ', 1)) || '.k' || p_size % 5 AS channel FROM part), b AS (SELECT DISTINCT 'q' || p_size AS queue, CASE p_size % 3 WHEN 0 THEN 'ev.' || lower(split_part(p_type, ' ', 1)) || '.#' WHEN 1 THEN 'ev.*.k' || p_size % 5 ELSE 'ev.' || lower(split_part(p_type, ' ', 1)) || '.k0' END AS key FROM part WHERE p_partkey < 12),
     m AS (SELECT channel, queue FROM q JOIN b ON regexp_full_match(channel, replace(replace(replace(key, '.#', '(\\..*)?'), '*', '[^.]+'), '.k', '\\.k')))
     SELECT channel, min(queue) AS queue FROM m GROUP BY channel HAVING count(DISTINCT queue) = 1""",
     ctes=False,
@@ -177,9 +177,9 @@ def routing_join(e: Estate) -> DataFrame:
     """Channels that exactly one queue is bound to. Bindings meet channels by their first word; patterns are compared within it."""
     from ..functions import identity as I
 
-    p = e.table("part").selectExpr("lower(split_part(p_type, ' ', 1)) AS w", "p_size")
+    p = e.table("part").selectExpr("lower(split_part(p_type, ' ', 1)) AS w", "p_size", "p_partkey")
     q = p.selectExpr("concat('ev.', w, '.k', p_size % 5) AS channel").distinct()
-    b = p.filter("p_size < 9").selectExpr("concat('q', p_size) AS target", "CASE p_size % 3 WHEN 0 THEN concat('ev.', w, '.#') WHEN 1 THEN concat('ev.*.k', p_size % 5) ELSE concat('ev.', w, '.k0') END AS key").distinct()
+    b = p.filter("p_partkey < 12").selectExpr("concat('q', p_size) AS target", "CASE p_size % 3 WHEN 0 THEN concat('ev.', w, '.#') WHEN 1 THEN concat('ev.*.k', p_size % 5) ELSE concat('ev.', w, '.k0') END AS key").distinct()
     head = lambda c: F.substring_index(c, ".", 1).alias("head")
     m = q.select("channel", head("channel")).join(b.select("target", head("key"), I.topic_regex(F.col("key")).alias("regex")), "head").filter(F.regexp_like("channel", F.col("regex")))
     return W.unique_match(m, "channel", "target").withColumnRenamed("target", "queue")
@@ -221,11 +221,8 @@ def wildcard_stubs(e: Estate) -> DataFrame:
 
 @query(
     "d15_owner_patterns",
-    """WITH o AS (SELECT n_nationkey AS line, CASE n_nationkey % 4 WHEN 0 THEN '*' WHEN 1 THEN '/svc/' || n_nationkey % 3 WHEN 2 THEN '/svc/*/api' ELSE '/svc/' || n_nationkey % 3 || '/**' END AS pattern, n_name AS team FROM nation), r AS (SELECT s_suppkey AS id, '/svc/' || s_suppkey % 5 || CASE WHEN s_suppkey % 2 = 0 THEN '/api' ELSE '' END AS root FROM supplier),
-    m AS (SELECT id, line, team FROM r JOIN o ON CASE n_k WHEN 0 THEN true WHEN 1 THEN root = pattern OR starts_with(root, pattern || '/') WHEN 2 THEN ends_with(root, '/api') ELSE root = replace(pattern, '/**', '') OR starts_with(root, replace(pattern, '**', '')) END)
-    SELECT id, arg_max(team, line) AS team FROM (SELECT r.id, o.line, o.team FROM r, (SELECT *, line % 4 AS n_k FROM o) o WHERE CASE n_k WHEN 0 THEN true WHEN 1 THEN root = pattern OR starts_with(root, pattern || '/') WHEN 2 THEN ends_with(root, '/api') ELSE root = replace(pattern, '/**', '') OR starts_with(root, replace(pattern, '**', '')) END) GROUP BY id""".replace(
-        """m AS (SELECT id, line, team FROM r JOIN o ON CASE n_k WHEN 0 THEN true WHEN 1 THEN root = pattern OR starts_with(root, pattern || '/') WHEN 2 THEN ends_with(root, '/api') ELSE root = replace(pattern, '/**', '') OR starts_with(root, replace(pattern, '**', '')) END)
-    """, "").replace("FROM supplier),\n    SELECT", "FROM supplier)\n    SELECT"),
+    """WITH o AS (SELECT n_nationkey AS line, CASE n_nationkey % 4 WHEN 0 THEN '*' WHEN 1 THEN '/svc/' || n_nationkey % 3 WHEN 2 THEN '/svc/*/api' ELSE '/svc/' || n_nationkey % 3 || '/**' END AS pattern, n_name AS team FROM nation), r AS (SELECT s_suppkey AS id, '/svc/' || s_suppkey % 5 || CASE WHEN s_suppkey % 2 = 0 THEN '/api' ELSE '' END AS root FROM supplier)
+    SELECT id, arg_max(team, line) AS team FROM (SELECT r.id, o.line, o.team FROM r, (SELECT *, line % 4 AS n_k FROM o) o WHERE CASE n_k WHEN 0 THEN true WHEN 1 THEN root = pattern OR starts_with(root, pattern || '/') WHEN 2 THEN ends_with(root, '/api') ELSE root = replace(pattern, '/**', '') OR starts_with(root, replace(pattern, '**', '')) END) GROUP BY id""",
     ctes=False,
 )
 def owner_patterns(e: Estate) -> DataFrame:
@@ -362,13 +359,13 @@ def autopromote(e: Estate) -> DataFrame:
 
 @query(
     "d20_broker_anchor",
-    "WITH c AS (SELECT p_partkey AS id, 'h' || p_size % 30 AS host, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 2 END AS port FROM part), b AS (SELECT s_suppkey AS broker, 'h' || s_suppkey % 30 AS host, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 2 END AS port FROM supplier), m AS (SELECT id, broker FROM c JOIN b ON c.host = b.host AND (c.port IS NULL OR b.port IS NULL OR c.port = b.port)) SELECT id, min(broker) AS broker FROM m GROUP BY id HAVING count(DISTINCT broker) = 1",
+    "WITH c AS (SELECT p_partkey AS id, 'h' || p_size % 30 AS host, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 2 END AS port FROM part), b AS (SELECT s_suppkey AS broker, 'h' || s_suppkey % 30 AS host, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 2 END AS port FROM supplier WHERE s_suppkey <= 40), m AS (SELECT id, broker FROM c JOIN b ON c.host = b.host AND (c.port IS NULL OR b.port IS NULL OR c.port = b.port)) SELECT id, min(broker) AS broker FROM m GROUP BY id HAVING count(DISTINCT broker) = 1",
     ctes=False,
 )
 def broker_anchor(e: Estate) -> DataFrame:
     """Candidates bound to the only broker of their host whose port agrees, where either may be unknown."""
     c = e.table("part").selectExpr("p_partkey AS id", "concat('h', p_size % 30) AS host", "if(p_partkey % 4 = 0, null, p_partkey % 2) AS port")
-    b = e.table("supplier").selectExpr("s_suppkey AS broker", "concat('h', s_suppkey % 30) AS host", "if(s_suppkey % 5 = 0, null, s_suppkey % 2) AS other")
+    b = e.table("supplier").filter("s_suppkey <= 40").selectExpr("s_suppkey AS broker", "concat('h', s_suppkey % 30) AS host", "if(s_suppkey % 5 = 0, null, s_suppkey % 2) AS other")
     return W.unique_match(c.join(b, "host").filter("port IS NULL OR other IS NULL OR port = other"), "id", "broker")
 
 
@@ -388,7 +385,7 @@ def connection_binding(e: Estate) -> DataFrame:
     "k4_skill_clusters",
     """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label % 3 AS block FROM embeddings WHERE vec_id < 300), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.block = b.block AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.3),
     u AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, root FROM r JOIN u ON node = u.a), c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
-    SELECT root, count(DISTINCT node) AS members, round(min(s), 6) AS least, round(max(s), 6) AS most FROM c JOIN p ON c.node = p.a GROUP BY root""".replace("count(DISTINCT node) AS members", "(SELECT count(*) FROM c x WHERE x.root = c.root) AS members"),
+    SELECT root, (SELECT count(*) FROM c x WHERE x.root = c.root) AS members, round(min(s), 6) AS least, round(max(s), 6) AS most FROM c JOIN p ON c.node = p.a GROUP BY root""",
     ctes=False,
 )
 def skill_clusters(e: Estate, least: float = 0.3) -> DataFrame:
