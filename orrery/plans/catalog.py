@@ -424,4 +424,4 @@ def redaction(e: Estate) -> DataFrame:
     return d.select("doc_id", S.redacted(F.col("text")).alias("text"))
 
 
-from . import changes, filesets, fixpoints, governance, identities, impact, reports, schemas, supply, topology, welds  # noqa: E402, F401  they register their queries
+from . import basics, changes, filesets, fixpoints, governance, identities, impact, reports, schemas, supply, topology, welds  # noqa: E402, F401  they register their queries

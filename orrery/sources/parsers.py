@@ -261,3 +261,13 @@ def policy_json(violations: DataFrame) -> DataFrame:
 def policy_table(violations: DataFrame) -> DataFrame:
     """A line of text for each violation, as the report for people."""
     return violations.select(F.concat_ws(" | ", F.rpad("level", 8, " "), "rule", "entity", F.coalesce("detail", F.lit(""))).alias("line"))
+
+
+def routes(files: DataFrame) -> DataFrame:
+    """file, method and path of route declarations: calls and decorators of a router, attributes and mapping annotations."""
+    call = rf"(?:\b|@)(?:router|app|server|api|route)\.({METHODS})\(\s*['\"](/[^'\"]*)['\"]"
+    attribute = r"#\[Route\(\s*['\"](/[^'\"]*)['\"][^\]]*?methods:\s*\[\s*['\"]([A-Z]+)['\"]"
+    mapping = r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*)?['\"](/[^'\"]*)['\"]"
+    pairs = lambda p, m, u: F.arrays_zip(_found(F.col("text"), p, m).alias("m"), _found(F.col("text"), p, u).alias("u"))
+    found = F.concat(*[F.transform(pairs(p, m, u), lambda x: F.struct(F.upper(x["m"]).alias("method"), x["u"].alias("path"))) for p, m, u in ((call, 1, 2), (attribute, 2, 1), (mapping, 1, 2))])
+    return files.select("file", F.explode(found).alias("r")).select("file", "r.method", "r.path")
