@@ -7,7 +7,8 @@ so those of a shared prefix are computed once.
 
 Defined results
     * null and empty texts give no ids and an empty decoded text; special tokens' strings in a text give their ids
-    * repeated rows give repeated results; further columns are ignored; an empty table gives an empty result
+    * repeated rows give repeated results and a null doc_id stays null; further columns are ignored; an empty table gives an empty
+      result
 """
 
 from __future__ import annotations
