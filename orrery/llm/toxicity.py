@@ -28,7 +28,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -283,20 +283,27 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 9000) -> Model
     return Model(entries, fit(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)).tolist())
 
 
-def score_texts(model: Model, texts: list[str | None]) -> list[float]:
+def scorer(model: Model) -> Callable[[Iterator[str | None]], list[float]]:
+    """A function from texts to scores; the grammar is built once."""
     if not model.weights:
-        return [0.0] * len(texts)
+        return lambda texts: [0.0 for _ in texts]
     grammar, w = Grammar(model.entries), np.array(model.weights)
-    x = np.array([grammar.features(t or "") for t in texts]).reshape(len(texts), len(w) - 1)
-    return (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))).tolist()
+
+    def scores(texts: Iterator[str | None]) -> list[float]:
+        x = np.array([grammar.features(t or "") for t in texts]).reshape(-1, len(w) - 1)
+        return (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))).tolist()
+
+    return scores
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in texts_by_slice(batches, 12_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(model, batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
+        scores = scorer(model)
+        for batch in batches:
+            # one text at a time is a Python object, however large the batch
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(x.as_py() for x in batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -304,10 +311,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose score is under 0.5, with all their columns."""
-    plain = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in texts_by_slice(batches, 12_000_000):
-            yield batch.select(["doc"]).filter(pa.array([s < 0.5 for s in score_texts(model, batch.column("text").to_pylist())], pa.bool_()))
+        scores, at = scorer(model), names.index("text")
+        for batch in batches:
+            yield batch.filter(pa.array([s < 0.5 for s in scores(x.as_py() for x in batch.column(at))], pa.bool_()))
 
-    return plain.mapInArrow(run, plain.select("doc").schema).select("doc.*")
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
