@@ -35,6 +35,7 @@ VOCABULARY, START, PIECE_BITS = 49408, 65535, 16
 ORDER = 2
 #: The language keys of the model of all trusted text and of a null language.
 POOLED, UNKNOWN = "\1", "\2"
+#: ids: the pieces as `packed` makes them; sizes: pieces of each document.
 BLOCKS = "block long, doc_ids array<long>, langs array<string>, maybe array<boolean>, sizes array<int>, ids binary"
 
 
@@ -62,7 +63,22 @@ def flagged(docs: DataFrame, ids: DataFrame, bits: int = 25) -> DataFrame:
     return rows.withColumn("maybe", F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))).drop("part", "bit", "bitmap")
 
 
-def tokenised(docs: DataFrame, path: str | None = None, block_bytes: int = 2_000_000) -> DataFrame:
+def packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, compressed: sorted codes share their high bytes, and pieces have few different ones."""
+    import zstandard
+
+    flat = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=3).compress(flat.tobytes())
+
+
+def unpacked(data: bytes, dtype: str) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def tokenised(docs: DataFrame, path: str | None = None, block_bytes: int = 8_000_000) -> DataFrame:
     """Documents (doc_id, lang, text, maybe) as blocks of pieces."""
     path = path or tokenizer_path("word_bpe_49k.json")
 
@@ -73,7 +89,7 @@ def tokenised(docs: DataFrame, path: str | None = None, block_bytes: int = 2_000
         for batch in texts_by_slice(batches, block_bytes):
             ids, at = encoder.encode(batch.column("text"))
             row = [pa.array([block])] + [pa.array([batch.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("maybe", pa.bool_()))]
-            row += [pa.array([np.diff(at).tolist()], pa.list_(pa.int32())), pa.array([ids.astype("<u2").tobytes()], pa.binary())]
+            row += [pa.array([np.diff(at).tolist()], pa.list_(pa.int32())), pa.array([packed(ids.astype("<u2"))], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "langs", "maybe", "sizes", "ids"])
             block += 1
 
@@ -99,7 +115,7 @@ def count(pieces: DataFrame, order: int) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
-                own = [np.frombuffer(b, "<u2") for b, x in zip(batch.column("ids").to_pylist(), langs, strict=True) if x == lang]
+                own = [unpacked(b, "<u2") for b, x in zip(batch.column("ids").to_pylist(), langs, strict=True) if x == lang]
                 code, n = np.unique(codes(np.concatenate(own).astype(np.int64), np.array([len(x) for x in own]), order), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n)], names=["lang", "code", "n"])
 
@@ -112,8 +128,8 @@ def learned(blocks: DataFrame, ids: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                flat, at = memoryview(r["ids"]), np.append(0, np.cumsum(r["sizes"])) * 2
-                own = [(r["doc_ids"][k], r["langs"][k], bytes(flat[at[k] : at[k + 1]])) for k, m in enumerate(r["maybe"]) if m and r["sizes"][k]]
+                ids_, at = unpacked(r["ids"], "<u2"), np.append(0, np.cumsum(r["sizes"]))
+                own = [(r["doc_ids"][k], r["langs"][k], packed(ids_[at[k] : at[k + 1]])) for k, m in enumerate(r["maybe"]) if m and r["sizes"][k]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "ids"])
 
     some = blocks.mapInArrow(run, "doc_id long, lang string, ids binary").filter(counted(F.col("doc_id")))
@@ -161,7 +177,7 @@ def model(counts: DataFrame, order: int) -> DataFrame:
 
 def wanted(row: dict, order: int, pooled: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """For each language of a block, and for all together: its key, its documents, their pieces, and the sorted codes to ask for."""
-    ids, sizes = np.frombuffer(row["ids"], "<u2").astype(np.int64), np.array(row["sizes"], np.int64)
+    ids, sizes = unpacked(row["ids"], "<u2").astype(np.int64), np.array(row["sizes"], np.int64)
     langs = np.array([UNKNOWN if x is None else x for x in row["langs"]], dtype=object)
     for lang in [*sorted(set(langs)), *([POOLED] if pooled else [])]:
         docs = np.flatnonzero(sizes > 0 if lang == POOLED else (langs == lang) & (sizes > 0))
@@ -177,15 +193,6 @@ def wanted(row: dict, order: int, pooled: bool) -> Iterator[tuple[str, np.ndarra
         yield lang, docs, own, np.unique(np.concatenate(ask))
 
 
-def planes(codes_: np.ndarray) -> bytes:
-    """Numbers byte by byte: sorted ones share their high bytes, which then compress."""
-    return np.ascontiguousarray(codes_.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
-
-
 def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
     return code % 1_000_003 % shards
 
@@ -201,7 +208,7 @@ def asked(blocks: DataFrame, order: int, shards: int, pooled: bool) -> DataFrame
                     shard = shard_of(ask, shards)
                     by = np.argsort(shard, kind="stable")
                     there, first = np.unique(shard[by], return_index=True)
-                    out += [(s, row["block"], lang, planes(own)) for s, own in zip(there.tolist(), np.split(ask[by], first[1:]), strict=True)]
+                    out += [(s, row["block"], lang, packed(own)) for s, own in zip(there.tolist(), np.split(ask[by], first[1:]), strict=True)]
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["shard", "block", "lang", "codes"])
 
@@ -221,7 +228,7 @@ def answered(requests: DataFrame, known: DataFrame, shards: int) -> DataFrame:
             tables[lang] = code[own], p[own].astype("<f4"), back[own].astype("<f4")
         out: list[tuple] = []
         for r in left.to_pylist():
-            ask = unplanes(r["codes"])
+            ask = unpacked(r["codes"], "<i8")
             values = np.full((2, len(ask)), np.nan, "<f4")
             if r["lang"] in tables:
                 have, *held = tables[r["lang"]]
@@ -229,7 +236,7 @@ def answered(requests: DataFrame, known: DataFrame, shards: int) -> DataFrame:
                 hit = have[at] == ask
                 for k in (0, 1):
                     values[k, hit] = held[k][at[hit]]
-            out.append((r["block"], r["shard"], r["lang"], values[0].tobytes(), values[1].tobytes()))
+            out.append((r["block"], r["shard"], r["lang"], packed(values[0]), packed(values[1])))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary())
         return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["block", "shard", "lang", "p", "back"])
 
@@ -262,7 +269,7 @@ def perplexities(blocks: DataFrame, answers: DataFrame, order: int, shards: int,
         for lang, docs, own, ask in wanted(row, order, pooled):
             p, back, shard = np.full(len(ask), np.nan, "<f4"), np.full(len(ask), np.nan, "<f4"), shard_of(ask, shards)
             for r in got.get(lang, []):
-                p[shard == r["shard"]], back[shard == r["shard"]] = np.frombuffer(r["p"], "<f4"), np.frombuffer(r["back"], "<f4")
+                p[shard == r["shard"]], back[shard == r["shard"]] = unpacked(r["p"], "<f4"), unpacked(r["back"], "<f4")
             if np.isnan(p[0]):  # no model of this language
                 continue
             logs = log_probabilities(own, sizes[docs], ask, p, back, order)
@@ -278,7 +285,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, order:
     """doc_id, lang, perplexity, threshold and kept of every row."""
     ids = trusted(labels)
     blocks = materialise(tokenised(flagged(docs.select("doc_id", "lang", "text"), ids)), "blocks")
-    pieces = blocks.agg(F.sum(F.octet_length("ids") / 2)).first()[0] or 0
+    pieces = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x))).first()[0] or 0
     shards = max(1, int(-(-pieces // shard_pieces)))
     counts = materialise(learned(blocks, ids, order), "all-counts")
     known = blocks.select(F.explode(F.array_distinct("langs")).alias("lang")).select(_key(F.col("lang")).alias("lang")).distinct()
