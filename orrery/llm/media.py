@@ -5,14 +5,16 @@ binary tests turned to that orientation. Descriptors go into eight Hamming table
 differ in at most seven bits share an entry. Images that share an entry are compared: mutually best matches vote for a
 similarity transform, and enough matches that agree with one make a link, so crops, quarter turns and edited copies are found.
 
-Images with the same descriptors form a class with one representative. In each entry all are first compared with one pivot;
-what is then still in other components is compared in blocks inside tasks, so no group becomes pairs of rows.
+Images with the same descriptors form a class with one representative. Representatives are dealt into parts, and for every two
+parts a task compares each pair that shares an entry, once and whatever else links them; it returns a number of links and one
+link to its component for each image, so no group becomes pairs of rows. Each image is read once for every part.
 
 The test tables hold no images. `rasters` renders a vector as a small grey image, for a query over a whole table.
 
 Defined results
     * a null, unreadable or flat image has no corners and is linked with nothing
-    * repeated images are one class; rows with a null id take the component of their class
+    * repeated images are one class; rows with a null id take part like any other: a component's id is its smallest id, null if
+      there is none; different images under one id are classes of their own
     * an empty table gives an empty result; further columns are ignored
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, slices
-from .components import components
+from .components import components, stars
 
 CORNERS, CELL, TESTS, PATCH = 24, 64, 256, 9
 _rng = np.random.default_rng(8)
@@ -38,7 +40,7 @@ TURNS, TABLES = 64, 8
 _angles = np.arange(TURNS) * (2 * np.pi / TURNS)
 _TURNED = np.rint(np.einsum("tij,pj->tpi", np.array([[np.cos(_angles), -np.sin(_angles)], [np.sin(_angles), np.cos(_angles)]]).transpose(2, 0, 1), np.concatenate([_A, _B]))).astype(int)
 _DISC = np.hypot(*np.mgrid[-PATCH + 1 : PATCH, -PATCH + 1 : PATCH]) < PATCH
-FEATURES = "id long, n_corners int, image_key binary, spots array<double>, codes array<long>, entries array<long>"
+FEATURES = "id long, n_corners int, image_key binary, spots array<double>, codes array<long>"
 
 
 def read_image(data: bytes | None) -> np.ndarray | None:
@@ -141,7 +143,7 @@ def features(images: DataFrame) -> DataFrame:
 
     def described(greys: list[np.ndarray | None], pixels: int = 1 << 18) -> list[tuple]:
         """Images of one size go through together, so many that their pixels stay bounded."""
-        out: list[tuple] = [(0, None, None, None, None)] * len(greys)
+        out: list[tuple] = [(0, None, None, None)] * len(greys)
         sizes: dict[tuple, list[int]] = {}
         for k, grey in enumerate(greys):
             if grey is not None:
@@ -153,28 +155,33 @@ def features(images: DataFrame) -> DataFrame:
                 for k, (place, bits) in zip(own, corners(np.stack([greys[j] for j in own])), strict=True):
                     if len(place):
                         key = hashlib.blake2b(bits.tobytes() + np.rint(place * 4).astype(np.int64).tobytes(), digest_size=16).digest()
-                        out[k] = (len(place), key, place.ravel().tolist(), bits.view(np.int64).ravel().tolist(), entries(bits).tolist())
+                        out[k] = (len(place), key, place.ravel().tolist(), bits.view(np.int64).ravel().tolist())
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        kinds = (pa.int32(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()))
         for batch in batches:
             sizes = [len(d or b"") for d in batch.column("image").to_pylist()]
             for start, end in slices(sizes, 4 << 20):
                 part = batch.slice(start, end - start)
                 rows = described([read_image(d) for d in part.column("image").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["id", "n_corners", "image_key", "spots", "codes", "entries"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["id", "n_corners", "image_key", "spots", "codes"])
 
     return images.select("id", "image").mapInArrow(run, FEATURES)
 
 
-def entries(bits: np.ndarray) -> np.ndarray:
-    """Distinct keys of the descriptors in their Hamming tables: each table's bits, hashed with the table's number to 64 bits."""
+def table_keys(bits: np.ndarray) -> np.ndarray:
+    """For each descriptor its key in each Hamming table: the table's bits, hashed with the table's number to 64 bits."""
     width = TESTS // TABLES // 8  # whole bytes
     out = np.full((len(bits), TABLES), 14695981039346656037, np.uint64) ^ np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(width):
         out = (out ^ bits[:, : TABLES * width].reshape(len(bits), TABLES, width)[:, :, k]) * np.uint64(1099511628211)
-    return np.unique(out.view(np.int64))
+    return out
+
+
+def entries(bits: np.ndarray) -> np.ndarray:
+    """Distinct keys of the descriptors in their Hamming tables."""
+    return np.unique(table_keys(bits).view(np.int64))
 
 
 def same_scene(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], most_bits: int = 48, least: int = 5) -> bool:
@@ -231,71 +238,69 @@ def _loaded(spots: pa.ChunkedArray | pa.Array, codes: pa.ChunkedArray | pa.Array
     return [(p, c.view(np.uint64)) for p, c in zip(*parts, strict=True)]
 
 
-def _star(members: DataFrame, feats: DataFrame, salted: int = 4096) -> DataFrame:
-    """Links of the members of each entry with its pivot. One row a member at most; a pivot met by many is read once a salt."""
-    pairs = members.filter("rep <> pivot").groupBy("pivot", "rep").agg(F.max("n").alias("n"))
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / salted)).cast("int"))
-    pivots = pairs.select("pivot", "salt").distinct().join(feats.select(F.col("rep").alias("pivot"), F.col("spots").alias("spots_a"), F.col("codes").alias("codes_a")), "pivot")
-    both = pairs.join(feats.select("rep", "spots", "codes"), "rep").join(pivots, ["pivot", "salt"]).select(F.col("pivot").alias("a"), F.col("rep").alias("b"), "spots_a", "codes_a", "spots", "codes")
+def candidates(codes: list[np.ndarray]) -> np.ndarray:
+    """For all images by all (upper triangle): whether two share an entry."""
+    owner = np.repeat(np.repeat(np.arange(len(codes)), [len(c) for c in codes]), TABLES)
+    keys = table_keys(np.concatenate([np.zeros((0, TESTS // 64), np.uint64), *codes]).view(np.uint8).reshape(-1, TESTS // 8)).ravel()
+    order = np.lexsort((owner, keys))
+    keys, owner = keys[order], owner[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))[: len(keys)]
+    keys, owner = keys[new], owner[new]
+    out = np.zeros((len(codes), len(codes)), bool)
+    i, apart = np.arange(len(keys)), 1
+    while len(i := i[i + apart < len(keys)]) and len(i := i[keys[i] == keys[i + apart]]):  # members of an entry lie together
+        out[owner[i], owner[i + apart]] = True
+        apart += 1
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                one, two = _loaded(part.column(2), part.column(3)), _loaded(part.column(4), part.column(5))
-                at = np.arange(len(one))
-                maybe = possible([c for _, c in one + two], at, at + len(one))
-                same = [bool(m) and same_scene(x, y) for m, x, y in zip(maybe, one, two, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _compare(near: DataFrame, far: DataFrame, feats: DataFrame, rows: int = 64, columns: int = 512) -> DataFrame:
-    """Links between members of an entry: near (entry, rep, root, weight) against far, in blocks of bounded size by weight."""
-    size = near.groupBy("entry").agg(F.sum("weight").alias("o")).join(far.groupBy("entry").agg(F.sum("weight").alias("m")), "entry")
-    size = size.select("entry", F.ceil(F.col("o") / rows).cast("int").alias("rs"), F.ceil(F.col("m") / columns).cast("int").alias("cs"))
-    near = near.join(size, "entry").withColumn("r", F.pmod(F.xxhash64("rep"), F.col("rs")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cs") - 1)))
-    far = far.join(size, "entry").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("cs")).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rs") - 1)))
-    names = ["entry", "r", "c", "rep", "root"]
-    both = near.select(*names, F.lit(True).alias("near")).unionByName(far.select(*names, F.lit(False).alias("near"))).join(feats.select("rep", "spots", "codes"), "rep")
 
-    def run(table: pa.Table) -> pa.Table:
-        rep, root, near = (table.column(c).to_numpy() for c in ("rep", "root", "near"))
-        own = _loaded(table.column("spots"), table.column("codes"))
-        x, y = (k.ravel() for k in np.meshgrid(np.flatnonzero(near), np.flatnonzero(~near), indexing="ij"))
-        x, y = x[root[x] != root[y]], y[root[x] != root[y]]
-        maybe = possible([c for _, c in own], x, y)
-        found = [(i, j) for i, j in zip(x[maybe].tolist(), y[maybe].tolist(), strict=True) if same_scene(own[i], own[j])]
-        a, b = ([rep[f[k]] for f in found] for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _links(feats: DataFrame, held: int = 3072) -> DataFrame:
+    """node, root and n: the links of every node in each unit that has some, and the first node linked with it there. Images are
+    dealt into parts of about `held` images of CORNERS corners; a unit has two parts, fills the Hamming tables with them and
+    compares each pair that shares an entry once. Neither candidates nor links become rows."""
+    weight = F.greatest(F.col("n_corners") / CORNERS, F.lit(1))
+    parts = max(1, int(-(-(feats.agg(F.sum(weight)).first()[0] or 0) // held)))
+    own = feats.select("node", "rep", "image_key", "spots", "codes", F.pmod(F.xxhash64("image_key"), F.lit(parts)).cast("int").alias("part"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
 
-    return both.groupBy("entry", "r", "c").applyInArrow(run, "a long, b long").distinct()
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("rep", "ascending"), ("image_key", "ascending")])
+        node, part = (table.column(c).to_numpy() for c in ("node", "part"))
+        images = _loaded(table.column("spots"), table.column("codes"))
+        codes = [c for _, c in images]
+        share = candidates(codes)
+        if (part != part[0]).any():  # pairs within a part belong to its own unit
+            share &= part[:, None] != part[None, :]
+        elif table.column("low")[0] != table.column("high")[0]:
+            share[:] = False
+        x, y = np.nonzero(share)
+        maybe = possible(codes, x, y)
+        found = np.array([k for k in np.flatnonzero(maybe).tolist() if same_scene(images[x[k]], images[y[k]])], np.int64)
+        x, y = x[found], y[found]
+        n, root = np.bincount(np.concatenate([x, y]), minlength=len(node)), np.arange(len(node))
+        if len(x):
+            ends, tops = stars(x, y)
+            root[ends] = tops
+        linked = np.flatnonzero(n)
+        return pa.table({"node": pa.array(node[linked]), "root": pa.array(node[root[linked]]), "n": pa.array(n[linked], pa.int64())})
+
+    return dealt.groupBy("low", "high").applyInArrow(run, "node long, root long, n long")
 
 
 def copies(images: DataFrame) -> DataFrame:
-    """id, n_corners, component_id and n_links of every row; n_links counts links of its representative's class."""
+    """id, n_corners, component_id and n_links of every row; n_links counts the other classes that its class is linked with."""
     rows = materialise(features(images), "image-features")
-    best = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "spots", "codes", "entries")).alias("s")
-    sets = materialise(rows.filter("image_key IS NOT NULL").groupBy("image_key").agg(best).select("image_key", F.col("s.id").alias("rep"), "s.spots", "s.codes", "s.entries"), "image-sets")
-    feats = sets.filter("rep IS NOT NULL")
-    weight = F.ceil(F.size("codes") / (TESTS // 64 * CORNERS)).cast("long").alias("weight")  # 1 up to CORNERS corners
-    entries = feats.select("rep", weight, F.explode("entries").alias("entry"))
-    shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-    members = materialise(entries.join(shared, "entry").select("entry", "rep", "pivot", "n", "weight"), "image-entries")
-    links = materialise(_star(members, feats), "image-links")
-    roots = materialise(components(links), "image-roots")
-    # every member has met its pivot, so entries of two are done and pivots need no second comparison
-    now = members.filter("n > 2").select("entry", "rep", "pivot", "weight").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("entry", "rep", "pivot", "weight", F.coalesce("root", "rep").alias("root"))
-    per = now.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("entry").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("top")).filter("parts > 1")
-    open_ = materialise(now.filter("rep <> pivot").drop("pivot").join(top, "entry").select("entry", "rep", "root", "weight", F.col("top.root").alias("large")), "image-open")
-    links = materialise(links.unionByName(_compare(open_.filter("root <> large").drop("large"), open_.drop("large"), feats)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "image-links")
-    roots = components(links)
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    comps = sets.select("image_key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    best = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "n_corners", "spots", "codes")).alias("s")
+    sets = rows.filter("image_key IS NOT NULL").groupBy("image_key").agg(best).select("image_key", F.col("s.id").alias("rep"), "s.n_corners", "s.spots", "s.codes")
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()), "image-sets")
+    links = materialise(_links(sets), "image-links")
+    roots = components(links.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    degree = links.groupBy("node").agg(F.sum("n").alias("n_links"))
+    comps = materialise(sets.select("image_key", "rep", "node").join(roots, "node", "left").join(degree, "node", "left"), "image-components")
+    least = comps.filter("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("least"))
+    comps = comps.join(least, "root", "left").select("image_key", F.coalesce("least", "rep").alias("component_id"), "n_links")
     out = rows.select("id", "n_corners", "image_key").join(comps, "image_key", "left")
-    return out.select("id", "n_corners", F.coalesce("root", "rep", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("id", "n_corners", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def rasters(vectors: DataFrame, side: int = 64) -> DataFrame:

@@ -294,6 +294,26 @@ def test_media_links_a_quarter_of_a_large_image():
     assert linked == 3
 
 
+def test_media_counts_every_link(spark):
+    """Links inside a component that others already connect, and those of images with a null or a repeated id."""
+    rng = np.random.default_rng(21)
+    grey = np.kron(rng.integers(0, 255, (16, 16)), np.ones((4, 4)))
+    family = [np.clip(grey + rng.normal(0, 3, grey.shape), 0, 255) for _ in range(7)]
+    lone = np.kron(rng.integers(0, 255, (16, 16)), np.ones((4, 4)))
+    greys = [media.read_image(media.write_image(g)) for g in family]
+    own = [(p, b.view(np.uint64)) for p, b in media.corners(np.stack(greys))]
+    assert all(media.same_scene(a, b) for k, a in enumerate(own) for b in own[k + 1 :])
+    ids = [1, 2, 3, 4, 4, None, 6]
+    data = [(i, bytearray(media.write_image(g))) for i, g in zip(ids, family, strict=True)] + [(9, bytearray(media.write_image(lone)))]
+    frame = spark.createDataFrame(data, "id long, image binary")
+    got = sorted((str(r["id"]), r["component_id"], r["n_links"]) for r in media.copies(frame).collect())
+    assert got == sorted([(str(i), 1, 6) for i in ids] + [("9", 9, 0)])
+    sets = media.features(frame).selectExpr("id AS rep", "monotonically_increasing_id() AS node", "n_corners", "image_key", "spots", "codes")
+    for held in (1, 3, 100):
+        parts = media._links(media.materialise(sets, "sets"), held).groupBy("node").sum("n").collect()
+        assert sorted(r["sum(n)"] for r in parts) == [6] * 7
+
+
 @pytest.mark.parametrize("shape", ["path", "hub", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(7)
