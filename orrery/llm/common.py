@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +84,18 @@ def slices(sizes, limit: int):
         held += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+_trimmed = [0.0]
+
+
+def trim(every: float = 0.25) -> None:
+    """Give freed memory back to the system, at most once in `every` seconds: a Python worker is kept between tasks and shares its
+    executor's memory with others, and the allocators would hold on to what a task's batches took."""
+    if time.monotonic() - _trimmed[0] < every:
+        return
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    _trimmed[0] = time.monotonic()

@@ -141,9 +141,10 @@ class ByteBpe:
 
 
 class WordBpe:
-    """Lower-case BPE with word ends (word_bpe_49k.json). words: encodes distinct words, given as UTF-8 bytes."""
+    """Lower-case BPE with word ends (word_bpe_49k.json). words: encodes distinct words, given as UTF-8 bytes; about most_words of
+    them are kept, as pieces met before need none."""
 
-    def __init__(self, path: str, words: Callable[[list[bytes]], list]):
+    def __init__(self, path: str, words: Callable[[list[bytes]], list], most_words: int = 100_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -153,7 +154,7 @@ class WordBpe:
         # fixed values: the vocabulary's own split pattern, with its white space written out
         space = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.split_words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{space}\p{{L}}\p{{N}}]+")
-        self.words, self.known = words, {}
+        self.words, self.known, self.most_words = words, {}, most_words
         self.table = PieceTable()
 
     def _split(self, piece: bytes) -> list[bytes | int]:
@@ -169,7 +170,7 @@ class WordBpe:
     def _encode(self, pieces: list[bytes]) -> list[list[int]]:
         split = [self._split(p) for p in pieces]
         new = {w for ws in split for w in ws if isinstance(w, bytes)} - self.known.keys()
-        if len(self.known) + len(new) > 400_000:
+        if len(self.known) + len(new) > self.most_words:
             self.known = {}
             new = {w for ws in split for w in ws if isinstance(w, bytes)}
         new = sorted(new)
@@ -231,7 +232,10 @@ def word_bpe(path: str, engine: str) -> WordBpe:
 
 
 def texts_by_slice(batches_: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    from .common import trim
     from .spans import batches
 
     for batch in batches_:
         yield from batches(batch, "text", limit)
+        del batch
+        trim()

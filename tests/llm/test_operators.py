@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orrery.llm import binary, bpe_trie, exact_dedup, lines, media, minhash, packing, pii, quality, toxicity
@@ -231,6 +232,18 @@ def test_quality_judges_each_of_nine_languages_by_its_own(spark):
     assert sum(got[900 + i]["kept"] for i in range(40)) >= 38
 
 
+def test_encoder_keeps_few_words_and_workers_give_memory_back(monkeypatch):
+    from orrery.llm import common, tokens
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    encoder, calls = tokens.WordBpe(path, tokens.library_words(path)), []
+    monkeypatch.setattr(common, "trim", lambda: calls.append(1))
+    column = pa.array([" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}q" for k in range(a, a + 30_000)) for a in range(0, 180_000, 30_000)])
+    for part in tokens.texts_by_slice(iter([pa.record_batch({"text": column})]), 100_000):
+        encoder.encode(part.column("text"))
+    assert len(calls) == 1 and 0 < len(encoder.known) <= 100_000
+
+
 def test_media_finds_a_crop(spark):
     rng = np.random.default_rng(2)
     big = [np.kron(rng.integers(0, 255, (24, 24)), np.ones((5, 5))) for _ in range(4)]
