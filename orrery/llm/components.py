@@ -3,7 +3,8 @@
 A round reads the links and first contracts blocks of them where they lie: a block becomes a star for each of its own
 components. One aggregate then gives every node its smallest neighbour and tells whether all links form stars already. If
 not, each node's larger neighbours are linked to its smallest one, then its smaller ones to the smallest. The joins are on
-written tables, so adaptive execution can split a node with very many links.
+written tables, so adaptive execution can split a node with very many links. As soon as few enough links are left for one block,
+that block's stars are the components.
 """
 
 from __future__ import annotations
@@ -57,13 +58,30 @@ def _contracted(links: DataFrame, block: int = 1 << 20) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) for every node of links(a, b). Links to itself are no links."""
+def _whole(links: DataFrame) -> DataFrame:
+    """node and root from all links in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(x.num_rows for x in held):
+            return
+        node, root = stars(*(np.concatenate([x.column(c).to_numpy() for x in held]) for c in (0, 1)))
+        tops = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, tops]), pa.int64()), pa.array(np.concatenate([root, tops]), pa.int64())], names=["node", "root"])
+
+    return links.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(links: DataFrame, block: int = 1 << 19) -> DataFrame:
+    """node, root (the smallest node of its component) for every node of links(a, b). Links to itself are no links. Up to `block`
+    links are settled in one task."""
     edges = links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     before: tuple[DataFrame, ...] = ()
     while True:
         edges = materialise(_contracted(edges), "stars")
         discard(*before)  # what the new stars were made of
+        if edges.count() <= block:
+            return materialise(_whole(edges), "components")
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(1).alias("up"), F.lit(0).alias("down"))
         ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         nodes = ends.groupBy("node").agg(F.min("other").alias("m"), F.count_if(F.col("up") > 0).alias("up"), F.max("down").alias("down"))

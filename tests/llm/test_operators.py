@@ -350,3 +350,16 @@ def test_components(spark, shape):
     want = {i: top(i) for a, b in links if a != b for i in (a, b)}
     got = component_parts.components(spark.createDataFrame(links, "a long, b long").repartition(16)).collect()
     assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
+
+
+@pytest.mark.parametrize("block", [0, 50, 1 << 19])
+def test_components_of_few_links_take_one_task(spark, monkeypatch, block):
+    rng, written = random.Random(8), []
+    ids = rng.sample(range(10**12), 90)
+    links = [*zip(ids[:40], ids[1:40], strict=False), *((ids[40], i) for i in ids[41:80]), (ids[85], ids[85])]
+    plain = component_parts.materialise
+    monkeypatch.setattr(component_parts, "materialise", lambda df, name: (written.append(name), plain(df, name))[1])
+    frame = spark.createDataFrame(rng.sample(links, len(links)), "a long, b long").repartition(16)
+    got = {r["node"]: r["root"] for r in (component_parts.components(frame, block) if block < 1 << 19 else component_parts.components(frame)).collect()}
+    assert got == {i: min(own) for own in (ids[:40], ids[40:80]) for i in own}
+    assert ("nodes" in written) == (block < 78)
