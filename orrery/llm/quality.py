@@ -1,8 +1,9 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of word pieces (operator 2).
 
 Trusted text is that of documents whose label says quality 1. Texts are cut into the word pieces of a public vocabulary, once; a
-table holds the pieces in blocks of documents. Counts of the n-grams of trusted documents, by language, are gathered in shards of
-the n-gram; continuation counts, discounts, back-off weights and interpolated probabilities follow as joins of those tables.
+table holds the pieces in blocks of documents, each piece as its rank among those that follow the one before. Counts of the
+n-grams of trusted documents, by language, are gathered in shards of the n-gram; continuation counts, discounts, back-off weights
+and interpolated probabilities follow as joins of those tables.
 
 Documents meet the model by n-gram: a block asks each shard for the probabilities of its distinct n-grams, packed in one row, a
 shard answers from its part of the model, and the answers come back to their block, where they are summed over its documents. No
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,10 @@ VOCABULARY, START, PIECE_BITS = 49408, 65535, 16
 ORDER = 2
 #: The language keys of the model of all trusted text and of a null language.
 POOLED, UNKNOWN = "\1", "\2"
-#: ids: the pieces as `packed` makes them; sizes: pieces of each document.
-BLOCKS = "block long, doc_ids array<long>, langs array<string>, maybe array<boolean>, sizes array<int>, ids binary"
+#: followers and ranks: the pieces as `folded` makes them; sizes: pieces of each document.
+BLOCKS = "block long, doc_ids array<long>, langs array<string>, maybe array<boolean>, sizes array<int>, followers binary, ranks binary"
+#: Pieces after which `folded` begins anew.
+SEGMENT = 256
 
 
 def _key(lang: Column) -> Column:
@@ -78,6 +82,46 @@ def unpacked(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """The place of each piece in its segment of SEGMENT pieces of a document."""
+    return (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % SEGMENT
+
+
+def folded(ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """The pieces of documents: which pieces follow each piece, commonest first, and each piece's rank among those that follow the
+    one before. Ranks are mostly small, so they pack better than pieces."""
+    before = np.append(START, ids[:-1])[: len(ids)].astype(np.uint32)
+    before[_within(sizes) == 0] = START
+    pairs = pa.array(before << PIECE_BITS | ids.astype(np.uint32)).dictionary_encode()
+    at, pair = pairs.indices.to_numpy(), pairs.dictionary.to_numpy()
+    order = np.lexsort((pair, -np.bincount(at, minlength=len(pair)), pair >> PIECE_BITS))
+    pair = pair[order]
+    rank = np.zeros(len(pair), "<u2")
+    rank[order] = np.arange(len(pair)) - np.searchsorted(pair >> PIECE_BITS, pair >> PIECE_BITS)
+    return packed(pair.astype("<u4")), packed(rank[at])
+
+
+def unfolded(followers: bytes, ranks: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of `folded`; one step goes through all segments."""
+    pair, rank = unpacked(followers, "<u4"), unpacked(ranks, "<u2")
+    first, piece = np.zeros(START + 1, np.int64), (pair & START).astype("<u2")
+    context, at = np.unique(pair >> PIECE_BITS, return_index=True)
+    first[context] = at
+    starts = np.flatnonzero(_within(sizes) == 0)
+    lengths = np.diff(np.append(starts, len(rank)))
+    starts = starts[np.argsort(-lengths, kind="stable")]
+    out, last = np.zeros(len(rank), "<u2"), np.full(len(starts), START, "<u2")
+    for t, n in enumerate(len(starts) - np.cumsum(np.bincount(lengths))[:-1]):
+        here = starts[:n] + t
+        last = piece[first[last[:n]] + rank[here]]
+        out[here] = last
+    return out
+
+
+def _pieces(row: dict) -> np.ndarray:
+    return unfolded(row["followers"], row["ranks"], np.array(row["sizes"], np.int64))
+
+
 def tokenised(docs: DataFrame, path: str | None = None, block_bytes: int = 8_000_000) -> DataFrame:
     """Documents (doc_id, lang, text, maybe) as blocks of pieces."""
     path = path or tokenizer_path("word_bpe_49k.json")
@@ -89,8 +133,8 @@ def tokenised(docs: DataFrame, path: str | None = None, block_bytes: int = 8_000
         for batch in texts_by_slice(batches, block_bytes):
             ids, at = encoder.encode(batch.column("text"))
             row = [pa.array([block])] + [pa.array([batch.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("maybe", pa.bool_()))]
-            row += [pa.array([np.diff(at).tolist()], pa.list_(pa.int32())), pa.array([packed(ids.astype("<u2"))], pa.binary())]
-            yield pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "langs", "maybe", "sizes", "ids"])
+            row += [pa.array([np.diff(at).tolist()], pa.list_(pa.int32())), *[pa.array([x], pa.binary()) for x in folded(ids, np.diff(at))]]
+            yield pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "langs", "maybe", "sizes", "followers", "ranks"])
             block += 1
 
     return docs.select("doc_id", F.col("lang"), "text", "maybe").mapInArrow(run, BLOCKS)
@@ -128,7 +172,7 @@ def learned(blocks: DataFrame, ids: DataFrame, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids_, at = unpacked(r["ids"], "<u2"), np.append(0, np.cumsum(r["sizes"]))
+                ids_, at = _pieces(r), np.append(0, np.cumsum(r["sizes"]))
                 own = [(r["doc_ids"][k], r["langs"][k], packed(ids_[at[k] : at[k + 1]])) for k, m in enumerate(r["maybe"]) if m and r["sizes"][k]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in own], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "ids"])
 
@@ -177,7 +221,7 @@ def model(counts: DataFrame, order: int) -> DataFrame:
 
 def wanted(row: dict, order: int, pooled: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """For each language of a block, and for all together: its key, its documents, their pieces, and the sorted codes to ask for."""
-    ids, sizes = unpacked(row["ids"], "<u2").astype(np.int64), np.array(row["sizes"], np.int64)
+    ids, sizes = _pieces(row).astype(np.int64), np.array(row["sizes"], np.int64)
     langs = np.array([UNKNOWN if x is None else x for x in row["langs"]], dtype=object)
     for lang in [*sorted(set(langs)), *([POOLED] if pooled else [])]:
         docs = np.flatnonzero(sizes > 0 if lang == POOLED else (langs == lang) & (sizes > 0))
@@ -185,7 +229,7 @@ def wanted(row: dict, order: int, pooled: bool) -> Iterator[tuple[str, np.ndarra
             continue
         own = ids[np.repeat((langs == lang) | (lang == POOLED), sizes)]
         ask = [np.zeros(1, np.int64)]
-        whole = codes(own, sizes[docs], order)
+        whole = pc.unique(pa.array(codes(own, sizes[docs], order))).to_numpy()  # shorter ones are parts of these
         for k in range(1, order + 1):
             ask.append(np.unique(whole & ((1 << PIECE_BITS * k) - 1)) | k << 48)
             if k < order:  # contexts are asked for too: those that begin a document never end an n-gram

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,28 @@ def test_sketch_forgets_no_id(spark):
     docs = spark.createDataFrame([(i,) for i in range(3000)] + [(None,)], "doc_id long")
     got = {r["doc_id"]: r["maybe"] for r in quality.flagged(docs, docs.filter("doc_id % 7 = 0").select("doc_id"), bits=15).collect()}
     assert len(got) == 3001 and not got[None] and all(got[i] for i in range(0, 3000, 7)) and sum(got.values()) < 700
+
+
+def test_folded_pieces_come_back_and_pack_better():
+    rng = np.random.default_rng(5)
+    following = rng.integers(0, 2000, (2000, 12)).astype(np.uint16)  # each piece has few that follow it
+    draws = np.minimum(rng.geometric(0.3, 400_000), 12) - 1
+    ids, last = np.zeros(len(draws), np.uint32), 7
+    for k, d in enumerate(draws.tolist()):
+        ids[k] = last = int(following[last, d])
+    sizes = np.array([0, 1, 255, 256, 257, 0, 513, 300_000, len(ids) - 301_282, 0], np.int64)
+    followers, ranks = quality.folded(ids, sizes)
+    assert quality.unfolded(followers, ranks, sizes).tolist() == ids.tolist()
+    assert len(followers) + len(ranks) < 0.5 * len(quality.packed(ids.astype("<u2")))
+    for few in ([], [0], [0, 0], [3]):
+        few = np.array(few, np.int64)
+        assert quality.unfolded(*quality.folded(ids[: few.sum()], few), few).tolist() == ids[: few.sum()].tolist()
+
+
+def test_blocks_hold_folded_pieces(spark):
+    words = "the quick brown fox jumps over a lazy dog while seven small birds sing".split()
+    rng = np.random.default_rng(6)
+    text = [" ".join(words[j % len(words)] for j in np.cumsum(rng.integers(1, 3, 4000))) for _ in range(8)]
+    rows = spark.createDataFrame([(k, "en", t, False) for k, t in enumerate(text)], "doc_id long, lang string, text string, maybe boolean").coalesce(1)
+    held = [r.asDict() for r in quality.tokenised(rows).collect()]
+    assert sum(len(x) for r in held for x in r.values() if isinstance(x, (bytes, bytearray))) < 0.2 * sum(sum(r["sizes"]) for r in held)
