@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, whole_text
+from .common import materialise, trim, whole_text
 from .tokens import texts_by_slice
 
 #: Closed word classes in English, German, French and Spanish.
@@ -212,12 +212,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """text, toxic and part of at most max_labelled rows that may be learned from; copies of a text count once."""
+    """text, toxic and part of at most max_labelled rows that may be learned from; copies of a text count once. A table of so few
+    rows is written by a task for each 1,000 of them at most, whatever the number of shuffle partitions: every file costs the
+    executor processes of its own."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(known), "doc_id")
     part = F.pmod(F.xxhash64("text"), F.lit(3)).cast("int").alias("part")
-    return materialise(rows.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")).select("text", "toxic", part), "labelled")
+    once = rows.groupBy("text").agg(F.max("toxic").cast("int").alias("toxic")).select("text", "toxic", part)
+    return materialise(once.coalesce(max(1, max_labelled // 1000)), "labelled")
 
 
 def _terms(text: str) -> set[str]:
@@ -304,6 +307,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             # one text at a time is a Python object, however large the batch
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(x.as_py() for x in batch.column("text")), pa.float64())], names=["doc_id", "score"])
+            del batch
+            trim()
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -318,5 +323,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
         scores, at = scorer(model), names.index("text")
         for batch in batches:
             yield batch.filter(pa.array([s < 0.5 for s in scores(x.as_py() for x in batch.column(at))], pa.bool_()))
+            del batch
+            trim()
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import binary, bpe_trie, exact_dedup, lines, media, minhash, packing, pii, quality, toxicity
 from orrery.llm import components as component_parts
@@ -363,3 +364,18 @@ def test_components_of_few_links_take_one_task(spark, monkeypatch, block):
     got = {r["node"]: r["root"] for r in (component_parts.components(frame, block) if block < 1 << 19 else component_parts.components(frame)).collect()}
     assert got == {i: min(own) for own in (ids[:40], ids[40:80]) for i in own}
     assert ("nodes" in written) == (block < 78)
+
+
+def test_few_labelled_rows_make_few_files(spark):
+    docs = spark.createDataFrame([(k, f"text number {k} of many") for k in range(400)], "doc_id long, text string").repartition(12)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int")
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        rows = toxicity.labelled_rows(docs, labels, 3000)
+        assert len(rows.inputFiles()) <= 3 and rows.count() == docs.filter(~toxicity.held_out(F.col("doc_id"))).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
