@@ -171,12 +171,8 @@ def features(images: DataFrame) -> DataFrame:
 
 
 def table_keys(bits: np.ndarray) -> np.ndarray:
-    """For each descriptor its key in each Hamming table: the table's bits, hashed with the table's number to 64 bits."""
-    width = TESTS // TABLES // 8  # whole bytes
-    out = np.full((len(bits), TABLES), 14695981039346656037, np.uint64) ^ np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(width):
-        out = (out ^ bits[:, : TABLES * width].reshape(len(bits), TABLES, width)[:, :, k]) * np.uint64(1099511628211)
-    return out
+    """For each descriptor its key in each Hamming table: the table's number, then its 32 bits."""
+    return bits.view(np.uint32) | np.arange(TABLES, dtype=np.uint64) << np.uint64(32)
 
 
 def entries(bits: np.ndarray) -> np.ndarray:
@@ -209,23 +205,95 @@ def same_scene(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nda
     return False
 
 
+def _shapes(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each two numbers of descriptors the places of the pairs (a, b) that have them."""
+    size = np.array([len(c) for c in codes], np.int64)
+    both = (size[a] << 32) | size[b]
+    order = np.argsort(both, kind="stable")
+    shapes, first = np.unique(both[order], return_index=True)
+    for shape, own in zip(shapes.tolist(), np.split(order, first[1:]), strict=False):  # without pairs no shape
+        yield shape >> 32, shape & 0xFFFFFFFF, own
+
+
+def _apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Bits in which descriptors differ (na, nb, pairs), 255 at most. one: (words, na, pairs), two: (words, nb, pairs)."""
+    far = np.empty((one.shape[1], *two.shape[1:]), np.uint8)
+    other, bits = np.empty(two.shape[1:], np.uint64), np.empty(two.shape[1:], np.uint8)
+    for row, own in enumerate(far):
+        for w in range(len(one)):
+            np.bitwise_xor(one[w, row], two[w], out=other)
+            np.bitwise_count(other, out=bits if w else own)
+            if w:
+                own += bits if w + 1 < len(one) else np.minimum(bits, 255 - own, out=bits)
+    return far
+
+
+def _flat(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All descriptors (words, n) and where each image's begin."""
+    starts = np.cumsum([0, *(len(c) for c in codes)])[:-1]
+    return np.ascontiguousarray(np.concatenate([np.zeros((0, TESTS // 64), np.uint64), *codes]).T), starts
+
+
 def possible(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray, most_bits: int = 48, least: int = 5, cells: int = 1 << 20) -> np.ndarray:
     """False for pairs (a, b) of codes with too few near descriptors for `same_scene`; many pairs at once."""
-    size = np.array([len(c) for c in codes])
-    out, shapes = np.zeros(len(a), bool), np.stack([size[a], size[b]], axis=1)
-    for na, nb in np.unique(shapes, axis=0).tolist():
-        own = np.flatnonzero((shapes == (na, nb)).all(axis=1))
+    out = np.zeros(len(a), bool)
+    whole, at = _flat(codes)
+    for na, nb, own in _shapes(codes, a, b):
         if na * nb > cells:
             out[own] = True
             continue
-        step = cells // max(1, na * nb) if min(na, nb) >= least else 0
-        for start in range(0, len(own), step) if step else ():
+        if min(na, nb) < least:
+            continue
+        step = max(1, min(512, cells // (na * nb)))
+        for start in range(0, len(own), step):
             k = own[start : start + step]
-            one, two = np.stack([codes[x] for x in a[k]]), np.stack([codes[x] for x in b[k]])
-            far = np.zeros((len(k), na, nb), np.uint16)
-            for w in range(TESTS // 64):
-                far += np.bitwise_count(one[:, :, None, w] ^ two[:, None, :, w])
-            out[k] = (far <= most_bits).any(axis=2).sum(axis=1) >= least
+            one, two = (np.take(whole, at[x] + np.arange(n)[:, None], axis=1) for x, n in ((a[k], na), (b[k], nb)))
+            out[k] = (_apart(one, two).min(axis=1) <= most_bits).sum(axis=0) >= least
+    return out
+
+
+def linked(images: list[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, most_bits: int = 48, least: int = 5, cells: int = 1 << 20) -> np.ndarray:
+    """What `same_scene` says of each pair (a, b) of images, many pairs at once; pairs of large images one by one."""
+    codes = [c for _, c in images]
+    out = np.zeros(len(a), bool)
+    maybe = np.flatnonzero(possible(codes, a, b, most_bits, least, cells))
+    whole, at = _flat(codes)
+    places = np.concatenate([np.zeros((0, 4)), *(p for p, _ in images)])
+    for na, nb, own in _shapes(codes, a[maybe], b[maybe]):
+        own = maybe[own]
+        if na * nb > cells // 64:
+            out[own] = [same_scene(images[x], images[y], most_bits, least) for x, y in zip(a[own].tolist(), b[own].tolist(), strict=True)]
+            continue
+        step = cells // (4 * max(1, na * nb))
+        for start in range(0, len(own), step):
+            k = own[start : start + step]
+            i, j = at[a[k]] + np.arange(na)[:, None], at[b[k]] + np.arange(nb)[:, None]
+            far = _apart(np.take(whole, i, axis=1), np.take(whole, j, axis=1)).astype(np.int32)
+            # the least distance and, of several, the first that has it
+            bits, best = np.divmod((far * nb + np.arange(nb, dtype=np.int32)[:, None]).min(axis=1), nb)
+            back = (far * na + np.arange(na, dtype=np.int32)[:, None, None]).min(axis=0) % na
+            mutual = ((np.take_along_axis(back, best, axis=0) == np.arange(na)[:, None]) & (bits <= most_bits)).T
+            matches = mutual.sum(axis=1)
+            for m in np.unique(matches[matches >= least]).tolist():
+                some = np.flatnonzero(matches == m)
+                of = np.nonzero(mutual[some])[1].reshape(-1, m)
+                one = places[i.T[some[:, None], of]]
+                two = places[j.T[some[:, None], best.T[some[:, None], of]]]
+                out[k[some]] = _agree(one, two, max(least, 0.5 * m))
+    return out
+
+
+def _agree(one: np.ndarray, two: np.ndarray, enough: float, cells: int = 1 << 18) -> np.ndarray:
+    """Whether the similarity transform of any match takes enough matched places of one (pairs, matches, 4) to those of two."""
+    out = np.zeros(len(one), bool)
+    step = max(1, cells // one.shape[1] ** 2)
+    for start in range(0, len(one), step):
+        a, b = one[start : start + step], two[start : start + step]
+        grow, turn = b[..., 2] / a[..., 2], b[..., 3] - a[..., 3]
+        c, s = (grow * np.cos(turn))[..., None], (grow * np.sin(turn))[..., None]
+        ax, ay, bx, by = (p[:, None, :, k] - p[:, :, None, k] for p in (a, b) for k in (0, 1))
+        off = np.hypot(ax * c - ay * s - bx, ax * s + ay * c - by)
+        out[start : start + step] = ((off <= 3 * np.maximum(1.0, grow)[..., None]).sum(axis=2) >= enough).any(axis=1)
     return out
 
 
@@ -238,23 +306,36 @@ def _loaded(spots: pa.ChunkedArray | pa.Array, codes: pa.ChunkedArray | pa.Array
     return [(p, c.view(np.uint64)) for p, c in zip(*parts, strict=True)]
 
 
-def candidates(codes: list[np.ndarray]) -> np.ndarray:
-    """For all images by all (upper triangle): whether two share an entry."""
-    owner = np.repeat(np.repeat(np.arange(len(codes)), [len(c) for c in codes]), TABLES)
-    keys = table_keys(np.concatenate([np.zeros((0, TESTS // 64), np.uint64), *codes]).view(np.uint8).reshape(-1, TESTS // 8)).ravel()
-    order = np.lexsort((owner, keys))
-    keys, owner = keys[order], owner[order]
-    new = np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))[: len(keys)]
-    keys, owner = keys[new], owner[new]
-    out = np.zeros((len(codes), len(codes)), bool)
-    i, apart = np.arange(len(keys)), 1
-    while len(i := i[i + apart < len(keys)]) and len(i := i[keys[i] == keys[i + apart]]):  # members of an entry lie together
-        out[owner[i], owner[i + apart]] = True
-        apart += 1
-    return out
-
-
-def _links(feats: DataFrame, held: int = 3072) -> DataFrame:
+def candidates(codes: list[np.ndarray], side: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (the first before the second) of images that share an entry, each once, about `most` at a time: those of the two sides
+    if `side` (bool) has both, else all."""
+    order = np.argsort(side, kind="stable")
+    across, n = bool(len(side) and side.any() and not side.all()), int(np.count_nonzero(~side))
+    owner = np.repeat(np.arange(len(order), dtype=np.uint64), [len(codes[k]) for k in order])
+    bits = np.concatenate([np.zeros((0, TESTS // 64), np.uint64), *(codes[k] for k in order)])
+    share = np.zeros((n, len(order) - n) if across else (len(order), len(order)), bool)
+    for table in table_keys(bits).T:
+        keys = np.sort(table << np.uint64(29) | owner)
+        keys = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
+        keys, member = keys >> np.uint64(29), (keys & np.uint64((1 << 29) - 1)).astype(np.int64)
+        i, apart = np.flatnonzero(keys[1:] == keys[:-1]), 1
+        while len(i):  # members of an entry lie together
+            x, y = member[i], member[i + apart]
+            if across:
+                cross = (x < n) & (y >= n)
+                share[x[cross], y[cross] - n] = True
+            else:
+                share[x, y] = True
+            apart += 1
+            i = i[: np.searchsorted(i, len(keys) - apart)]
+            i = i[keys[i] == keys[i + apart]]
+    for start, end in slices([np.count_nonzero(row) for row in share], most):
+        x, y = np.divmod(np.flatnonzero(share[start:end]), share.shape[1])
+        x, y = order[x + start], order[y + n if across else y]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _links(feats: DataFrame, held: int = 6144) -> DataFrame:
     """node, root and n: the links of every node in each unit that has some, and the first node linked with it there. Images are
     dealt into parts of about `held` images of CORNERS corners; a unit has two parts, fills the Hamming tables with them and
     compares each pair that shares an entry once. Neither candidates nor links become rows."""
@@ -267,22 +348,16 @@ def _links(feats: DataFrame, held: int = 3072) -> DataFrame:
         table = table.sort_by([("rep", "ascending"), ("image_key", "ascending")])
         node, part = (table.column(c).to_numpy() for c in ("node", "part"))
         images = _loaded(table.column("spots"), table.column("codes"))
-        codes = [c for _, c in images]
-        share = candidates(codes)
-        if (part != part[0]).any():  # pairs within a part belong to its own unit
-            share &= part[:, None] != part[None, :]
-        elif table.column("low")[0] != table.column("high")[0]:
-            share[:] = False
-        x, y = np.nonzero(share)
-        maybe = possible(codes, x, y)
-        found = np.array([k for k in np.flatnonzero(maybe).tolist() if same_scene(images[x[k]], images[y[k]])], np.int64)
-        x, y = x[found], y[found]
-        n, root = np.bincount(np.concatenate([x, y]), minlength=len(node)), np.arange(len(node))
-        if len(x):
-            ends, tops = stars(x, y)
-            root[ends] = tops
-        linked = np.flatnonzero(n)
-        return pa.table({"node": pa.array(node[linked]), "root": pa.array(node[root[linked]]), "n": pa.array(n[linked], pa.int64())})
+        if table.column("low")[0] != table.column("high")[0] and not (part != part[0]).any():  # pairs within a part belong to its own unit
+            images = []
+        n, ends, tops = np.zeros(len(node), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for x, y in candidates([c for _, c in images], (part != part[0])[: len(images)]):
+            x, y = np.stack([x, y])[:, linked(images, x, y)]
+            n += np.bincount(np.concatenate([x, y]), minlength=len(node))
+            ends, tops = stars(np.concatenate([ends, x]), np.concatenate([tops, y]))
+        root, some = np.arange(len(node)), np.flatnonzero(n)
+        root[ends] = tops
+        return pa.table({"node": pa.array(node[some]), "root": pa.array(node[root[some]]), "n": pa.array(n[some], pa.int64())})
 
     return dealt.groupBy("low", "high").applyInArrow(run, "node long, root long, n long")
 

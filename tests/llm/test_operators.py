@@ -328,6 +328,35 @@ def test_media_counts_every_link(spark):
         assert sorted(r["sum(n)"] for r in parts) == [6] * 7
 
 
+def test_media_compares_many_pairs_at_once(monkeypatch):
+    """All pairs of copies, crops, a flat and a larger image: what one by one gives, with no call for each pair of small images."""
+    rng = np.random.default_rng(31)
+    big = [np.kron(rng.integers(0, 255, (16, 16)), np.ones((4, 4))) for _ in range(8)]
+    greys = [*big, *[np.clip(g + rng.normal(0, 8, g.shape), 0, 255) for g in big], *[np.rot90(g)[:56, 3:60] for g in big], big[0], np.full((64, 64), 9.0), np.kron(big[1], np.ones((8, 8)))]
+    images = [(p, b.view(np.uint64)) for p, b in (media.corners(np.asarray(g)[None])[0] for g in greys)]
+    large = len(images) - 1
+    assert len(images[large - 1][0]) == 0 and len(images[large][0]) * media.CORNERS > (1 << 20) // 64 > media.CORNERS**2
+    a, b = (k.ravel() for k in np.indices((len(images), len(images))))
+    want, calls = [media.same_scene(images[i], images[j]) for i, j in zip(a, b, strict=True)], []
+    one_by_one = media.same_scene
+    monkeypatch.setattr(media, "same_scene", lambda one, two, *rest: calls.append((one, two)) or one_by_one(one, two, *rest))
+    assert media.linked(images, a, b).tolist() == want and sum(want) > 50
+    assert 0 < len(calls) < 2 * len(images) and all(any(x is images[large] for x in pair) for pair in calls)
+
+
+def test_media_candidates_come_in_blocks():
+    rng = np.random.default_rng(32)
+    codes = [rng.integers(0, 2, (n, 4), dtype=np.uint64) * np.uint64(rng.integers(1, 4)) + np.arange(n, dtype=np.uint64)[:, None] for n in rng.integers(0, 4, 40)]
+    keys = [set(media.entries(np.ascontiguousarray(c).view(np.uint8)).tolist()) for c in codes]
+    mixed = rng.random(40) < 0.4
+    for side, own in ((mixed, lambda i, j: mixed[i] != mixed[j]), (np.zeros(40, bool), lambda i, j: True), (np.ones(40, bool), lambda i, j: True)):
+        want = [(i, j) for i in range(40) for j in range(i + 1, 40) if keys[i] & keys[j] and own(i, j)]
+        blocks = list(media.candidates(codes, side, 50))
+        assert sorted((int(x), int(y)) for xs, ys in blocks for x, y in zip(xs, ys, strict=True)) == want
+        assert len(blocks) > 1 and all(len(x) < 50 + 40 for x, _ in blocks)
+    assert not list(media.candidates([], np.zeros(0, bool)))
+
+
 @pytest.mark.parametrize("shape", ["path", "hub", "random", "none"])
 def test_components(spark, shape):
     rng = random.Random(7)
