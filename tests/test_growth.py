@@ -1,7 +1,9 @@
 """Work grows no faster than the input: the rows that joins make, and exact answers without rows for all pairs."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from orrery.operators import catalogue
 from orrery.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -23,7 +25,25 @@ def joined(spark, df):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+#: Bounds in rows of sf0.01, each a small multiple of the rows that the query reads or gives.
+BOUNDS = {
+    "c5_service_context": 8000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(BOUNDS))
+def test_joins_make_few_rows(spark, name):
+    assert joined(spark, catalog.queries()[name](spark, SF)) <= BOUNDS[name]
+
+
 def test_equal_targets_are_scored_once(spark, tmp_path):
     p = spark.read.parquet("/root/testdata/sf0.001/part.parquet").crossJoin(spark.range(30))
     p.withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 210 * 4).drop("id").write.parquet(f"{tmp_path}/part.parquet")
     assert joined(spark, catalog.queries()["n3_candidate_scores"](spark, f"{tmp_path}")) <= 30 * 200
+
+
+def test_roots_are_deepest_first_and_few(spark):
+    services = spark.createDataFrame([(i, "/a") for i in range(9, 0, -1)] + [(20, "/a/b"), (21, "/a/bc")], "id long, path string")
+    asked = spark.createDataFrame([(1, "/a/b/c"), (2, "/a/b/c"), (3, "/x/y"), (4, "z"), (5, None)], "k long, asked string")
+    got = sorted((r["k"], r["id"], r["depth"]) for r in catalogue.roots(asked, services, 3).collect())
+    assert got == [(k, i, d) for k in (1, 2) for i, d in ((1, 2), (2, 2), (20, 4))]
