@@ -1,9 +1,11 @@
 """Work grows no faster than the input: the rows that joins make, and exact answers without rows for all pairs."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import catalogue
+from orrery.operators import catalogue, pairs
+from orrery.operators.graph import cosine
 from orrery.plans import catalog
 
 SF = "/root/testdata/sf0.01"
@@ -28,6 +30,11 @@ def joined(spark, df):
 #: Bounds in rows of sf0.01, each a small multiple of the rows that the query reads or gives.
 BOUNDS = {
     "c5_service_context": 8000,
+    "d19_shared_packages": 5000,
+    "k2_endpoint_matches": 250,
+    "k3_semantic_duplicates": 1000,
+    "k5_span_links": 250,
+    "k7_match_candidates": 250,
 }
 
 
@@ -47,3 +54,30 @@ def test_roots_are_deepest_first_and_few(spark):
     asked = spark.createDataFrame([(1, "/a/b/c"), (2, "/a/b/c"), (3, "/x/y"), (4, "z"), (5, None)], "k long, asked string")
     got = sorted((r["k"], r["id"], r["depth"]) for r in catalogue.roots(asked, services, 3).collect())
     assert got == [(k, i, d) for k in (1, 2) for i, d in ((1, 2), (2, 2), (20, 4))]
+
+
+def test_nearest_in_parts_is_that_of_all_pairs(spark, monkeypatch):
+    """Copies, zeros, null, NaN and vectors of other lengths; parts of a few rows, so several units meet."""
+    monkeypatch.setattr(pairs.dealt, "__defaults__", (7,))
+    made = np.random.default_rng(5).normal(size=(60, 3)).round(1).tolist()
+    made += [made[0]] * 9 + [[0.0] * 3] * 2 + [[float("nan"), 1.0, 0.0], None, [1.0, None, 0.0], [1.0, 0.0]]
+    v = spark.createDataFrame([(i, x, i % 2) for i, x in enumerate(made)], "id long, v array<float>, block int")
+    a, b = v.toDF("a", "va", "block"), v.toDF("b", "vb", "block")
+    for k, least in ((3, 0.2), (1, -1.0)):
+        rows = a.join(b, "block").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score")).filter("score IS NOT NULL").collect()
+        want = set()
+        for i in {r["a"] for r in rows}:
+            nan = lambda s: s != s
+            own = sorted((r for r in rows if r["a"] == i), key=lambda r: (not nan(r["score"]), 0 if nan(r["score"]) else -r["score"], r["b"]))[:k]
+            want |= {(r["a"], r["b"], str(r["score"])) for r in own if nan(r["score"]) or r["score"] >= least}
+        assert {(r["a"], r["b"], str(r["score"])) for r in pairs.nearest(v, v, "block", k, least).collect()} == want
+
+
+def test_most_shared_in_parts_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs.dealt, "__defaults__", (9,))
+    rng = np.random.default_rng(3)
+    sets = [sorted(rng.choice(list("abcdefgh"), size=rng.integers(1, 6), replace=False).tolist()) for _ in range(12)]
+    rows = [(int(i), sets[rng.integers(12)], int(rng.integers(3)) if i % 11 else None) for i in rng.permutation(90)]
+    want = [(-len(set(v) & set(w)), i, j) for i, v, t in rows for j, w, u in rows if i < j and None not in (t, u) and t != u and len(set(v) & set(w)) >= 2]
+    got = pairs.most_shared(spark.createDataFrame(rows, "id long, v array<string>, team int"), 7, 2).collect()
+    assert [(r["a"], r["b"], r["shared"]) for r in got] == [(i, j, -s) for s, i, j in sorted(want)[:7]]
