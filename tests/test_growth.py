@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import catalogue, pairs
+from orrery.operators import catalogue, gravity, pairs
 from orrery.operators.graph import cosine
 from orrery.plans import catalog
 
@@ -81,3 +81,16 @@ def test_most_shared_in_parts_is_that_of_all_pairs(spark, monkeypatch):
     want = [(-len(set(v) & set(w)), i, j) for i, v, t in rows for j, w, u in rows if i < j and None not in (t, u) and t != u and len(set(v) & set(w)) >= 2]
     got = pairs.most_shared(spark.createDataFrame(rows, "id long, v array<string>, team int"), 7, 2).collect()
     assert [(r["a"], r["b"], r["shared"]) for r in got] == [(i, j, -s) for s, i, j in sorted(want)[:7]]
+
+
+def test_dependents_without_pairs_of_services_and_callers(spark):
+    """Forty services with one set of two endpoints and a hundred callers; some call themselves, share a resource too or have no team."""
+    implements = [(i, p) for i in range(40) for p in ("p", "q")] + [(50, "r")]
+    calls = [(c, "pq"[c % 2]) for c in range(100, 200)] + [(100, "q"), (3, "p"), (50, "r"), (60, "r")]
+    shared, teams = [(0, 100), (0, 70), (1, 71), (80, 100), (80, 71)], {c: f"t{c % 3}" for c in range(100, 198)} | {3: "own", 50: "t", 60: None, 70: "t9"}
+    make = lambda rows, names: spark.createDataFrame(rows, names)
+    d = gravity.dependents(make(shared, "service long, dependent long"), make(implements, "src long, dst string"), make(calls, "src long, dst string"), make(list(teams.items()), "dependent long, team string"))
+    found = {(s, c) for s, p in implements for c, q in calls if p == q and s != c} | set(shared)
+    want = {s: [teams[c] for t, c in found if t == s and c in teams] for s in {s for s, _ in found}}
+    assert {r["service"]: (r["dependents"], r["teams"]) for r in d.collect()} == {s: (len(t), len(set(t) - {None})) for s, t in want.items() if t}
+    assert joined(spark, d) <= 500
