@@ -20,6 +20,10 @@ UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
 def looked_up(value: Column, table: dict[str, object], other: Column | None = None) -> Column:
+    """The entry of value in a table, else other. Texts are looked up in one map, as each test of a chain would repeat their expression."""
+    if all(isinstance(k, str) for k in table):
+        found = F.try_element_at(F.create_map(*[F.lit(x) for entry in table.items() for x in entry]), value)
+        return found if other is None else F.coalesce(found, other)
     out = F.lit(None) if other is None else other
     for k, v in table.items():
         out = F.when(value == k, F.lit(v)).otherwise(out)

@@ -11,14 +11,17 @@ from .estate import Estate
 
 
 def files(e: Estate, name: str, text: str) -> DataFrame:
-    """One file for each part: {k}, {z} and {t} in name and text stand for its key, size and type."""
+    """One file for each part: {k}, {z} and {t} in name and text stand for its key, size and type.
+
+    A part is a few bytes and its file takes long to parse, so parts are dealt out before."""
     def filled(s: str):
         out = F.lit(s)
         for mark, col in (("{k}", "p_partkey"), ("{z}", "p_size"), ("{t}", "p_type")):
             out = F.replace(out, F.lit(mark), F.col(col).cast("string"))
         return out
 
-    return e.table("part").select(filled(name).alias("file"), filled(text).alias("text"))
+    p = e.table("part").select("p_partkey", "p_size", "p_type")
+    return e.dealt(p, "p_partkey", size=1 << 16, tables=("part",)).select(filled(name).alias("file"), filled(text).alias("text"))
 
 
 _AVRO = '{"type":"record","name":"R{k}","fields":[{"name":"id","type":"string"},{"name":"a{z}","type":["null",{"type":"bytes","logicalType":"decimal"}]},{"name":"in","type":{"type":"record","name":"I","fields":[{"name":"x","type":{"type":"array","items":"I"}}]}},{"name":"m","type":{"type":"map","values":"long"}}]}'

@@ -193,13 +193,15 @@ def agent_configs(files: DataFrame) -> DataFrame:
 def env_connections(files: DataFrame) -> DataFrame:
     """file, name, technology, host, port and db of environment files' connection strings; templates give none."""
     v = lines(files.filter(F.col("file").rlike(r"(^|/)\.env[^/]*$"))).select("file", F.regexp_extract("body", r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*)\s*=", 1).alias("name"), F.regexp_replace(F.regexp_extract("body", r"=\s*(.*?)\s*$", 1), "^[\"']|[\"']$", "").alias("value"))
-    return v.filter("name <> ''").withColumn("d", I.dsn(F.col("value"))).filter("d IS NOT NULL").select("file", "name", "d.technology", "d.host", "d.port", "d.db")
+    return v.filter("name <> ''").select("file", "name", F.explode(F.array(I.dsn(F.col("value")))).alias("d")).filter("d IS NOT NULL").select("file", "name", "d.technology", "d.host", "d.port", "d.db")
 
 
 def config_connections(files: DataFrame) -> DataFrame:
     """file, technology, host, port and db of configuration arrays and objects, by their keys, in PHP, TypeScript, JSON or YAML."""
     value = lambda *keys: F.nullif(F.regexp_extract("text", rf"(?im)['\"]?\b(?:{'|'.join(keys)})['\"]?\s*(?:=>|:|=)\s*['\"]?([\w.-]+)", 1), F.lit(""))
-    rows = files.select("file", I.technology(F.regexp_replace(value("driver", "type", "dialect"), "^pdo_", "")).alias("technology"), value("host", "hostname").alias("host"), value("port").cast("int").alias("port"), value("dbname", "database", "db_name").alias("db"))
+    found = F.struct(F.regexp_replace(value("driver", "type", "dialect"), "^pdo_", "").alias("technology"), value("host", "hostname").alias("host"), value("port").cast("int").alias("port"), value("dbname", "database", "db_name").alias("db"))
+    # generated rows are computed once, while filters would repeat the patterns of a projection
+    rows = files.select("file", F.inline(F.array(found))).withColumn("technology", I.technology(F.col("technology")))
     return rows.filter("host IS NOT NULL AND db IS NOT NULL").filter(I.family(F.col("technology")).isNotNull() & ~I.names_no_place(F.col("host")))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from orrery.operators import catalogue, gravity, pairs
 from orrery.operators.graph import cosine
-from orrery.plans import catalog
+from orrery.plans import catalog, filesets
+from orrery.plans.estate import Estate
 
 SF = "/root/testdata/sf0.01"
 
@@ -94,3 +95,28 @@ def test_dependents_without_pairs_of_services_and_callers(spark):
     want = {s: [teams[c] for t, c in found if t == s and c in teams] for s in {s for s, _ in found}}
     assert {r["service"]: (r["dependents"], r["teams"]) for r in d.collect()} == {s: (len(t), len(set(t) - {None})) for s, t in want.items() if t}
     assert joined(spark, d) <= 500
+
+
+@pytest.mark.parametrize("rels", [("READS", "WRITES"), ("PUBLISHES_TO",), ("LISTENS_TO",)])
+def test_parts_of_edges_grow_with_bytes(spark, monkeypatch, rels):
+    """A task's share of the edges is set by bytes of the tables, not by how many rows fit a part when compressed."""
+    e, seen = Estate(spark, SF), []
+    for size in (1 << 16, 1 << 15):
+        monkeypatch.setitem(Estate.dealt.__kwdefaults__, "size", size)
+        seen.append(e.use(*rels).rdd.getNumPartitions())
+    assert seen[0] > 4 and abs(seen[1] - 2 * seen[0]) <= 1
+
+
+def test_pairs_are_distinct_and_counted(spark):
+    e = Estate(spark, SF)
+    want = e.use().groupBy("s", "x").agg(F.sum("n").alias("k"), F.min("rel").alias("low"))
+    got = e.pairs(k=F.sum("n"), low=F.min("rel"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_files_are_dealt_and_looked_up_once(spark):
+    e = Estate(spark, SF)
+    assert filesets.files(e, "{k}", "x").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for name in ("a14_config_connections", "a14_env_connections"):
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract(") <= 20
