@@ -43,11 +43,15 @@ def rewired(edges: DataFrame, mapping: DataFrame, fan_out: bool = False) -> Data
     """edges (src, rel, dst) with ends moved from mapping.old to mapping.new; equal edges and loops go. With fan_out old may have
     several new ends."""
     for end in ("src", "dst"):
-        own = mapping if fan_out else mapping.groupBy("old").agg(F.min("new").alias("new"))
-        edges = edges.join(own.select(F.col("old").alias(end), "new"), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        edges = moved(edges, mapping if fan_out else mapping.groupBy("old").agg(F.min("new").alias("new")), end)
     return edges.filter("src <> dst").select("src", "rel", "dst").distinct()
 
 
+def moved(edges: DataFrame, mapping: DataFrame, end: str) -> DataFrame:
+    """edges with one end moved from mapping.old to mapping.new."""
+    return edges.join(mapping.select(F.col("old").alias(end), "new"), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+
+
 def orphans(nodes: DataFrame, *references: DataFrame) -> DataFrame:
     """Nodes (id) that no reference (id) names."""
     return nodes.join(reduce(DataFrame.unionByName, [r.select("id") for r in references]), "id", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import estate
 from .catalog import n, query
 from .estate import Estate
 
@@ -131,8 +132,10 @@ def cache_split(e: Estate, hours: int = 24) -> DataFrame:
 )
 def priority_dedupe(e: Estate) -> DataFrame:
     """One relation for each resource and service, by priority; an aggregate, so most rows go before the exchange."""
-    order = F.array(*[F.lit(r) for r in ("WRITES", "PUBLISHES_TO", "READS", "LISTENS_TO", "MAPS_TO")])
-    return e.access().groupBy("resource", "service").agg(F.get(order, (F.min(F.array_position(order, F.col("rel"))) - 1).cast("int")).alias("rel"))
+    by = ("WRITES", "PUBLISHES_TO", "READS", "LISTENS_TO", "MAPS_TO")
+    place = F.get(F.array(*[F.lit(by.index(r)) for r in estate.RELS]), F.col("rel").cast("int"))
+    p = e.pairs(first=F.min(place))
+    return p.select(estate.resource_urn(F.col("x")).alias("resource"), estate.service_urn(F.col("s")).alias("service"), F.get(F.array(*[F.lit(r) for r in by]), F.col("first")).alias("rel"))
 
 
 @query(
