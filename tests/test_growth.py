@@ -120,3 +120,8 @@ def test_files_are_dealt_and_looked_up_once(spark):
     for name in ("a14_config_connections", "a14_env_connections"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_extract(") <= 20
+
+
+def test_blast_summary_names_no_function(spark):
+    """Edges of functions are lifted by numbers; names of all lines are neither made nor exchanged."""
+    assert "cr:function" not in catalog.queries()["e9_blast_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
