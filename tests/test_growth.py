@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import catalogue, gravity, pairs
+from orrery.operators import catalogue, fixpoint, gravity, pairs
 from orrery.operators.graph import cosine
 from orrery.plans import catalog, filesets
 from orrery.plans.estate import Estate
@@ -125,3 +125,12 @@ def test_files_are_dealt_and_looked_up_once(spark):
 def test_blast_summary_names_no_function(spark):
     """Edges of functions are lifted by numbers; names of all lines are neither made nor exchanged."""
     assert "cr:function" not in catalog.queries()["e9_blast_summary"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lineage_joins_its_sides_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(fixpoint, "cut", lambda df, cut=fixpoint.cut: kept.append(set(df.columns)) or cut(df))
+    sides = [spark.createDataFrame([r], "function string, structure string") for r in (("f", "b"), ("f", "a"))]
+    fields = spark.createDataFrame([("b", "x.id")], "structure string, field string")
+    assert {(r["structure"], r["hop"]) for r in fixpoint.lineage(*sides, fields, "a", "id").collect()} == {("a", 0), ("b", 1)}
+    assert kept.count({"function", "src", "dst"}) == 1
